@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import packed
+from tallyspark.plans import packed, relational, windows
 
-MODULES = (packed,)
+MODULES = (packed, relational, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
