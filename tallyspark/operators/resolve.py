@@ -40,9 +40,12 @@ def token_sort(a: str | None, b: str | None) -> float:
     return 200.0 * common_subsequence(x, y) / (len(x) + len(y))
 
 
-@F.pandas_udf("double")
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_sort(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_sort(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
 
 
 def artist_similarity(candidate: Column, credit: Column) -> Column:

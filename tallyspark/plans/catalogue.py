@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import packed, relational, windows
+from tallyspark.plans import analyses, packed, relational, texts, windows
 
-MODULES = (packed, relational, windows)
+MODULES = (packed, relational, windows, texts, analyses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
