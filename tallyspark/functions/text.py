@@ -128,20 +128,23 @@ def text_lines(c: Column | str) -> Column:
 
 
 def repetition_score(c: Column | str) -> Column:
-    """Share of lines whose text occurs more than once.
+    """Share of lines whose text occurs more than once; null without lines.
 
-    Linear in the lines: a line is repeated unless it stands alone, and lines that stand alone are
-    those of the sorted list that differ from both neighbours.
+    One pass over the sorted lines, in which equal ones stand together: the second of a run counts
+    two, each later one counts one.
     """
-    s = F.array_sort(text_lines(c))
-    n = F.size(s)
-    alone = F.size(
-        F.filter(
-            F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-            lambda e: ((e["i"] == 0) | (F.get(s, e["i"] - 1) != e["x"])) & ((e["i"] == n - 1) | (F.get(s, e["i"] + 1) != e["x"])),
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("again"), F.lit(0).alias("n"))
+
+    def step(t: Column, x: Column) -> Column:
+        same = t["last"].eqNullSafe(x)
+        return F.struct(
+            x.alias("last"),
+            F.when(same, t["run"] + 1).otherwise(1).alias("run"),
+            (t["again"] + F.when(same & (t["run"] == 1), 2).when(same, 1).otherwise(0)).alias("again"),
+            (t["n"] + 1).alias("n"),
         )
-    )
-    return F.when(n > 0, (n - alone) / n)
+
+    return F.aggregate(F.array_sort(text_lines(c)), start, step, lambda t: t["again"] / F.nullif(t["n"], F.lit(0)))
 
 
 def has_strong_word(c: Column | str, starts: Sequence[str] = STRONG_STARTS, whole: Sequence[str] = STRONG_WORDS) -> Column:

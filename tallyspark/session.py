@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,23 @@ def local_session(cpus: int | str = "*", app: str = "tallyspark") -> SparkSessio
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tallyspark-"), "tallyspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tallyspark", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._tallyspark_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
