@@ -283,7 +283,7 @@ def score_texts(texts: DataFrame, judged: DataFrame, id_col: str = "song_id", te
                 known.update(zip(part, m.score([terms(x) for x in part]).tolist(), strict=True))
             worst = [max(ls, key=known.__getitem__) if ls else None for ls in split]
             raw = np.array([known[x] if x is not None else -np.inf for x in worst], dtype=float)
-            yield pd.DataFrame({id_col: pdf[id_col], "score": 1 / (1 + np.exp(-(raw - at))), "offensive": raw > at, "worst_line": worst})
+            yield pd.DataFrame({id_col: pdf[id_col], "score": 1 / (1 + np.exp(-(raw - at))), "offensive": raw > at, "worst_line": pd.Series(worst, index=pdf.index, dtype=object)})
 
     return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, score double, offensive boolean, worst_line string")
 

@@ -53,7 +53,7 @@ def last_lines(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
         .where(F.length(F.trim("text")) > 0)
         .withColumn("lines", lines)
         .where(F.size("lines") > 0)
-        .withColumn("last", F.element_at("lines", -1))
+        .withColumn("last", F.try_element_at("lines", F.lit(-1)))
         .withColumn("body", F.regexp_replace("last", _TAIL, ""))
         .withColumn("tail", F.col("body") != F.col("last"))
         .withColumn("body", F.regexp_replace("body", _REMARK, ""))
@@ -81,7 +81,7 @@ def line_grams(texts: DataFrame, id_col: str) -> DataFrame:
         lines.select("n", t.alias("t"))
         .where(F.size("t") > 2)
         .select("n", "t", F.explode(F.sequence(F.lit(2), F.size("t"))).alias("i"))
-        .select("n", F.element_at("t", F.col("i")).alias("nxt"), F.explode(_contexts(F.col("t"), F.col("i") - 1)).alias("ctx"))
+        .select("n", F.try_element_at("t", F.col("i")).alias("nxt"), F.explode(_contexts(F.col("t"), F.col("i") - 1)).alias("ctx"))
         .groupBy("ctx", "nxt")
         .agg(F.sum("n").alias("n"))
     )
@@ -186,7 +186,7 @@ def score_cuts(df: DataFrame, id_col: str = "lyric_id", text_col: str = "plain_l
     m = F.size("w")
     last = (
         last.withColumn("label", F.col("last").rlike(_LABEL) & ~F.col("last").rlike(_TAIL) | (m < 2))
-        .withColumn("partial", F.element_at("w", -1))
+        .withColumn("partial", F.try_element_at("w", F.lit(-1)))
         .withColumn("end_ctx", _contexts(F.col("w"), m))
         .withColumn("word_ctx", F.when(m > 1, _contexts(F.col("w"), m - 1)).otherwise(F.array(F.lit(""), F.lit(""))))
     )

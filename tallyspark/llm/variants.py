@@ -54,7 +54,9 @@ SHORT_FORMS = {
     "orchestra": "orch", "international": "intl int", "foundation": "fdn found", "society": "soc", "collective": "coll", "ensemble": "ens", "symphony": "sym symph", "experience": "exp", "brigade": "brig bde", "mountain": "mtn mt",
     "street": "st", "family": "fam", "corporation": "corp", "junior": "jr", "senior": "snr", "project": "proj",
 }
-_LONG: dict[str, frozenset[str]] = {}
+#: Titles that have no short form.
+TITLES = ("tiny", "big", "lady", "lord", "sir", "dame", "miss", "master")
+_LONG: dict[str, frozenset[str]] = {t: frozenset({t}) for t in TITLES}
 for _full, _short in [*NICKNAMES.items(), *SHORT_FORMS.items()]:
     for _s in _short.split():
         _LONG[_s] = _LONG.get(_s, frozenset()) | {_full}
@@ -146,6 +148,8 @@ def word_similarity(a: Word, b: Word) -> float:
         return 0.0
     d = slips(x, y, 2)
     long_n = max(len(x), len(y))
+    if d == 1 and (fx is None) != (fy is None):
+        return 0.94  # a slip in a known title or given name, of which there are few
     if d == 1 or (d == 2 and long_n >= 9):
         return 1 - 0.08 * d
     # a slip in a nickname or a short form
@@ -189,24 +193,27 @@ def _h(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-_PRIME = np.uint64((1 << 61) - 1)
+def _params(n: int) -> np.ndarray:
+    """Seeds of n hash functions."""
+    return np.random.default_rng(11).integers(1, 1 << 63, n, dtype=np.uint64)
 
 
-def _params(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(11)
-    return rng.integers(1, 1 << 31, n, dtype=np.uint64), rng.integers(0, 1 << 31, n, dtype=np.uint64)
+def _min_hashes(grams: set[str], seeds: np.ndarray) -> np.ndarray:
+    """The least hash of the grams under each function, every bit of the hashes well mixed."""
+    x = np.array([_h(g) for g in grams], dtype=np.uint64)[:, None] ^ seeds[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).min(axis=0)
 
 
-def bucket_keys(name: str, common: frozenset[str], bands: int, params: tuple[np.ndarray, np.ndarray]) -> list[str]:
+def bucket_keys(name: str, common: frozenset[str], bands: int, params: np.ndarray) -> list[str]:
     """Keys of the buckets of a name: for each reading, band by band, with the words' first letters."""
     out: dict[str, None] = {}
     for words in readings(name):
         forms = [[next(iter(sorted(_LONG[w]))) if w in _LONG else w] for w, _ in words]
         rare = [w for w, _ in words if w not in common and w not in _LONG and len(w) > 2] or [w for w, _ in words if w not in _LONG and len(w) > 1] or [w for w, _ in words]
         grams = {p[i : i + GRAM] for p in (f"^{w}$" for w in rare) for i in range(len(p) - GRAM + 1)}
-        g = np.array([_h(x) for x in grams], dtype=np.uint64)
-        a, b = params
-        sig = ((g[:, None] * a[None, :] + b[None, :]) % _PRIME).min(axis=0)
+        sig = _min_hashes(grams, params)
         letters = "".join(sorted(f[0][0] for f in forms))
         alts = {letters}
         for k, (w, _) in enumerate(words):
@@ -270,9 +277,9 @@ def spelling_edges(names: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = _params(bands * ROWS)
         for pdf in batches:
-            got = [bucket_keys(x, held.value, bands, params) for x in pdf["name"]]
-            reps = [len(g) for g in got]
-            yield pd.DataFrame({"bucket": [k for g in got for k in g], "name": np.repeat(pdf["name"].to_numpy(), reps), "n": np.repeat(pdf["n"].to_numpy(), reps)})
+            out = [(k, x, n) for x, n in zip(pdf["name"], pdf["n"], strict=True) for k in bucket_keys(x, held.value, bands, params)]
+            if out:
+                yield pd.DataFrame(out, columns=["bucket", "name", "n"]).astype({"bucket": object, "name": object})
 
     rows = names.mapInPandas(keys, "bucket string, name string, n long")
     rows = rows.withColumn("b", F.xxhash64("bucket")).select("b", "name", "n")
@@ -292,7 +299,7 @@ def spelling_edges(names: DataFrame) -> DataFrame:
                 if not got and size > BUCKET:
                     out.append((name, None, 0.0, b, n, True))
             if out:
-                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n", "split"])
+                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n", "split"]).astype({"name": object, "centre": object})
 
     def grouped(df: DataFrame) -> DataFrame:
         return df.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("n"), "name").select("b", "salt", "size", "name", "n").mapInPandas(stars, kind)
