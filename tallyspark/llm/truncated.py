@@ -33,7 +33,8 @@ _TIME = r"^\s*\[\d[\d:.]*\]\s*"
 #: Signs and remarks that a cut or a singer may leave at the end of a text.
 _TAIL = r"(?iU)(\s*(\[\s*(\.\.\.|…|text ends|cut|truncated|continued)\s*\]|\(\s*(continued|cont\.?|more|truncated|\.\.\.|…)\s*\)|…|\.{2,}|[-–—]))+\s*$"
 _REMARK = r"(?iU)\s*[,(\[]?\s*(?:x\s?\d+|\d+\s?x|repeat(?:ed)?(?: x?\d+)?)\s*[)\]]?\s*$"
-_UNCLOSED = r"\[[^\]]*$"
+#: A bracket, a character reference or the bytes of a letter that were begun and not ended.
+_UNCLOSED = r"(\[[^\]]*|\x{FFFD}|&(#\d{0,4}|#x[0-9a-f]{0,4}|am?|amp|apo?|apos|lt?|gt?|qu?|quot?|n|nbs?|nbsp))$"
 _LABEL = r"(?iU)^\s*[\[(][^\])]*[\])]\s*:?\s*$"
 
 
