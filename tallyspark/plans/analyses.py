@@ -71,12 +71,12 @@ def _chi(df: DataFrame, a: str, b: str = "hit", strata: tuple[str, ...] = ()) ->
 
 
 # --- features from the chart itself -------------------------------------------------------------
-_CREDITS = f"SELECT *, trim(string_split({CREDIT_SQL}, '|')[1]) AS lead FROM ({CREDITS_SQL}) c WHERE regexp_full_match(artist, '[ -~]*')"
+_CREDITS = f"SELECT *, trim(string_split({CREDIT_SQL}, '|')[1]) AS lead FROM ({CREDITS_SQL}) c WHERE artist IS NOT NULL"
 
 
 def credits_with_lead(s, d) -> DataFrame:
-    """Collapsed credits with their lead act. Only ASCII credits, on which SQL's lower() agrees."""
-    return credits_of(s, d).where(F.col("artist").rlike("^[ -~]*$")).withColumn("lead", tx.lead_artist("artist"))
+    """Collapsed credits with their lead act."""
+    return credits_of(s, d).where("artist IS NOT NULL").withColumn("lead", tx.lead_artist("artist"))
 
 
 @query(f"""WITH c AS ({_CREDITS}) SELECT a.title, a.artist, count(DISTINCT CASE WHEN b.debut_date < a.debut_date THEN (b.title, b.artist) END) AS prior_entries,
@@ -257,15 +257,14 @@ def length_by_year(s, d):
     return g.withColumn("difference", F.round(100 * (F.col("hit_median") / F.col("other_median") - 1), 6))
 
 
-_ORIGIN = "SELECT x.song_id, x.hit, CASE WHEN a.country = 'US' THEN 'US' WHEN a.country IS NOT NULL THEN 'outside' END AS origin, a.country FROM (" + _SONGS + ") x LEFT JOIN (SELECT lower(artist_name) AS k, min(country) AS country FROM mb_artists WHERE artist_name IS NOT NULL GROUP BY 1) a ON lower(x.primary_artist) = a.k WHERE regexp_full_match(coalesce(x.primary_artist, ''), '[ -~]*')"
+_ORIGIN = "SELECT x.song_id, x.hit, CASE WHEN a.country = 'US' THEN 'US' WHEN a.country IS NOT NULL THEN 'outside' END AS origin, a.country FROM (" + _SONGS + ") x LEFT JOIN (SELECT lower(artist_name) AS k, min(country) AS country FROM mb_artists WHERE artist_name IS NOT NULL GROUP BY 1) a ON lower(x.primary_artist) = a.k"
 
 
 @query(_rates_sql("origin", src=_ORIGIN))
 def rate_by_origin(s, d):
     """Share of hits of acts from the US and from elsewhere; an unknown country stays unknown."""
     a = T(s, d, "mb_artists").where("artist_name IS NOT NULL").groupBy(F.lower("artist_name").alias("k")).agg(F.min("country").alias("country"))
-    t = songs(s, d).where(F.coalesce("primary_artist", F.lit("")).rlike("^[ -~]*$"))
-    j = t.join(a, F.lower("primary_artist") == F.col("k"), "left").withColumn("origin", F.when(F.col("country") == "US", "US").when(F.col("country").isNotNull(), "outside"))
+    j = songs(s, d).join(a, F.lower("primary_artist") == F.col("k"), "left").withColumn("origin", F.when(F.col("country") == "US", "US").when(F.col("country").isNotNull(), "outside"))
     return _rates(j, "origin")
 
 

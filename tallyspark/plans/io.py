@@ -32,13 +32,13 @@ def archive_scan(s, d):
     return files.read_archive(s, path, multi_line=False, last_day=LAST_CHART)
 
 
-@query("SELECT lyric_id, title, artist, nullif(plain_lyrics, '') AS plain_lyrics, match_score FROM lyrics WHERE plain_lyrics NOT LIKE '%' || chr(13) || '%' AND plain_lyrics = trim(plain_lyrics) AND plain_lyrics NOT LIKE '%\\%'")
+@query("SELECT lyric_id, title, artist, nullif(replace(replace(plain_lyrics, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '') AS plain_lyrics, match_score FROM lyrics")
 def csv_scan(s, d):
-    """Texts with line ends and quotes, written as CSV and read back by a declared schema."""
+    """Texts with line ends and quotes, written as CSV and read back by a declared schema; line ends made alike."""
     path = scratch(s, "csv")
-    t = T(s, d, "lyrics").where(~F.col("plain_lyrics").contains("\r") & (F.col("plain_lyrics") == F.trim("plain_lyrics")) & ~F.col("plain_lyrics").contains("\\"))
-    files.write_csv(t.select("lyric_id", "title", "artist", "plain_lyrics", "match_score"), path)
-    return files.read_csv(s, path, "lyric_id BIGINT, title STRING, artist STRING, plain_lyrics STRING, match_score INT")
+    t = T(s, d, "lyrics").select("lyric_id", "title", "artist", F.regexp_replace("plain_lyrics", "\r\n?", "\n").alias("plain_lyrics"), "match_score")
+    files.write_csv(t, path)
+    return files.read_csv(s, path, "lyric_id BIGINT, title STRING, artist STRING, plain_lyrics STRING, match_score INT").withColumn("plain_lyrics", F.nullif("plain_lyrics", F.lit("")))
 
 
 @query("SELECT title, artist, max(loaded_at) AS loaded_at, count(*) AS n FROM weekly GROUP BY 1, 2")

@@ -41,7 +41,6 @@ def _squeeze_sql(s: str) -> str:
 
 
 CREDIT_SQL = _credit_sql("artist")
-_ASCII = "regexp_full_match(title || artist, '[ -~]*')"
 _FEATURE_SQL = " OR ".join(f"contains(lower(artist), {_quote(w)})" for w in tx.FEATURE_WORDS)
 # lyric measures, on texts whose letters lower() treats alike everywhere
 _CLEAN = "regexp_replace(plain_lyrics, '\\[[^\\]]*\\]', '', 'g')"
@@ -51,29 +50,29 @@ _LIST = "list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')"
 _LINES = "list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
 
-@query(f"SELECT row_id, artist, CAST(len(p) AS INTEGER) AS n_artists, trim(p[1]) AS lead, ({_FEATURE_SQL}) AS has_feature FROM (SELECT row_id, artist, string_split({CREDIT_SQL}, '|') AS p FROM mb_songs WHERE regexp_full_match(artist, '[ -~]*'))")
+@query(f"SELECT row_id, artist, CAST(len(p) AS INTEGER) AS n_artists, trim(p[1]) AS lead, ({_FEATURE_SQL}) AS has_feature FROM (SELECT row_id, artist, string_split({CREDIT_SQL}, '|') AS p FROM mb_songs WHERE artist IS NOT NULL)")
 def credit_split(s, d):
-    """Lead, number of acts and feature mark by ordered plain separators. Only ASCII credits are compared with SQL."""
-    t = T(s, d, "mb_songs").where(F.col("artist").rlike("^[ -~]*$"))
+    """Lead, number of acts and feature mark by ordered plain separators."""
+    t = T(s, d, "mb_songs").where("artist IS NOT NULL")
     return t.select("row_id", "artist", F.size(tx.split_credit("artist")).alias("n_artists"), tx.lead_artist("artist").alias("lead"), tx.has_feature("artist").alias("has_feature"))
 
 
-@query(f"SELECT row_id, pos, name FROM (SELECT row_id, unnest(range(1, len(p) + 1))::INTEGER AS pos, trim(unnest(p)) AS name FROM (SELECT row_id, string_split({CREDIT_SQL}, '|') AS p FROM mb_songs WHERE regexp_full_match(artist, '[ -~]*'))) WHERE name <> ''")
+@query(f"SELECT row_id, pos, name FROM (SELECT row_id, unnest(range(1, len(p) + 1))::INTEGER AS pos, trim(unnest(p)) AS name FROM (SELECT row_id, string_split({CREDIT_SQL}, '|') AS p FROM mb_songs WHERE artist IS NOT NULL)) WHERE name <> ''")
 def artist_bridge(s, d):
     """One row per song and named act."""
-    t = T(s, d, "mb_songs").where(F.col("artist").rlike("^[ -~]*$"))
+    t = T(s, d, "mb_songs").where("artist IS NOT NULL")
     return t.select("row_id", F.posexplode(tx.split_credit("artist")).alias("pos", "name")).where("name <> ''").select("row_id", (F.col("pos") + 1).alias("pos"), "name")
 
 
-@query(f"SELECT row_id, x AS normal_title FROM (SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(mb_title), '\\([^)]*\\)', ' ', 'g'), '\\bfeat\\.?\\b|\\bfeaturing\\b', ' ', 'g'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS x FROM mb_songs WHERE mb_title IS NOT NULL AND regexp_full_match(mb_title, '[ -~]*'))")
+@query("SELECT row_id, x AS normal_title FROM (SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(mb_title, '')), '\\([^)]*\\)', ' ', 'g'), '\\bfeat\\.?\\b|\\bfeaturing\\b', ' ', 'g'), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\s\\p{Z}]', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS x FROM mb_songs)")
 def normalized_titles(s, d):
-    return T(s, d, "mb_songs").where(F.col("mb_title").rlike("^[ -~]*$")).select("row_id", tx.normalize_text("mb_title").alias("normal_title"))
+    return T(s, d, "mb_songs").select("row_id", tx.normalize_text("mb_title").alias("normal_title"))
 
 
 @query()
-def normalized_texts(s, d):
-    """Titles with letters of any script, for which the check's regular expressions know too little."""
-    return T(s, d, "mb_songs").select("row_id", tx.normalize_text("mb_title").alias("normal_title"), tx.title_key("mb_title").alias("key"), tx.is_version("mb_title").alias("is_version"))
+def title_keys(s, d):
+    """Keys of titles, and whether a title names a version."""
+    return T(s, d, "mb_songs").select("row_id", tx.title_key("mb_title").alias("key"), tx.is_version("mb_title").alias("is_version"))
 
 
 @query(f"SELECT lyric_id, nullif(len({_LIST}), 0)::INTEGER AS word_count, round(len(list_distinct({_LIST})) / nullif(len({_LIST}), 0), 9) AS unique_word_ratio, len({_LINES})::INTEGER AS n_lines, round(nullif(len({_LIST}), 0) / nullif(len({_LINES}), 0), 9) AS avg_line_length FROM ({_LYRICS})")

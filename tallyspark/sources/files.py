@@ -51,7 +51,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, bad_rows: str = "fail"
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def load_columns(spark: SparkSession, path: str, columns: Sequence[str], keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
