@@ -113,17 +113,33 @@ def slips(a: str, b: str, most: int) -> int:
         a, b = a[:-1], b[:-1]
     if not a or not b:
         return min(len(a) + len(b), most + 1)
-    two: list[int] = []
-    one = list(range(len(b) + 1))
+    # only cells near the diagonal can lie on a path of so few slips
+    far = most + 1
+    two: dict[int, int] = {}
+    one: dict[int, int] = {j: min(j, far) for j in range(len(b) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        row = _Sparse(far)
+        row[0] = min(i, far)
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
+            v = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, two[j - 2] + 1)
-            row.append(v)
+            row[j] = min(v, far)
         two, one = one, row
-    return min(one[-1], most + 1)
+    return min(one[len(b)], far)
+
+
+class _Sparse(dict):
+    """A row of which only the cells near the diagonal are kept."""
+
+    def __init__(self, far: int):
+        super().__init__()
+        self.far = far
+
+    def __missing__(self, _: int) -> int:
+        return self.far
 
 
 def word_similarity(a: Word, b: Word) -> float:

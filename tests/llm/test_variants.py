@@ -41,6 +41,28 @@ def test_collision_curve():
     assert 1 - (1 - v.SIMILAR**v.ROWS) ** v.bands_for() >= v.RECALL
 
 
+def test_slips_against_whole_table():
+    import random
+    import time
+
+    def plain(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        for most in (1, 2):
+            assert v.slips(a, b, most) == min(plain(a, b), most + 1), (a, b, most)
+    began = time.time()
+    assert v.slips("ab" * 100_000, "ba" * 100_000, 2) <= 3 and time.time() - began < 20
+
+
 def test_buckets_follow_the_curve():
     """Measured recall of the buckets, not only the formula's."""
     import random
