@@ -146,10 +146,10 @@ def rename_map_update(s, d):
     return n.join(F.broadcast(T(s, d, "region")), n.n_regionkey == F.col("r_regionkey"), "left").select("n_nationkey", F.coalesce(m[F.col("n_name")], F.col("n_name")).alias("n_name"), "r_name")
 
 
-@query("SELECT a.o_orderkey AS later_key, count(b.o_orderkey) AS earlier FROM (SELECT * FROM orders WHERE o_totalprice > 350000) a LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 350000) b ON a.o_custkey = b.o_custkey AND CAST(b.o_orderdate AS DATE) < CAST(a.o_orderdate AS DATE) GROUP BY 1")
+@query("SELECT a.o_orderkey AS later_key, count(b.o_orderkey) AS earlier FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(b.o_orderdate AS DATE) < CAST(a.o_orderdate AS DATE) GROUP BY 1")
 def theta_join_pairs(s, d):
     """Equality on the customer and inequality on the day; the range window gives the same counts at scale."""
-    o = T(s, d, "orders").where("o_totalprice > 350000").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    o = T(s, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
     b = o.select(F.col("o_custkey").alias("k"), F.col("day").alias("before"), F.col("o_orderkey").alias("ek"))
     return o.join(b, (o.o_custkey == b.k) & (b.before < o.day), "left").groupBy(F.col("o_orderkey").alias("later_key")).agg(F.count("ek").alias("earlier"))
 

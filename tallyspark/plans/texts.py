@@ -108,10 +108,10 @@ def text_rate(s, d):
     return T(s, d, "lyrics").where(F.col("plain_lyrics").isNotNull() & (c > 0)).select("lyric_id", F.length("plain_lyrics").alias("chars"), F.round(F.length("plain_lyrics") / c, 6).alias("chars_per_second"), F.when(c.between(30, 600), c).alias("duration_used"))
 
 
-@query(f"SELECT token, {genres.broad_genre_sql('token')} AS genre, n FROM (SELECT unnest(string_split(genres, '|')) AS token, count(*) AS n FROM mb_songs WHERE genres NOT LIKE '%\"%' GROUP BY 1) WHERE trim(token) <> ''")
+@query(f"SELECT token, {genres.broad_genre_sql('token')} AS genre, n FROM (SELECT unnest(string_split(genres, '|')) AS token, count(*) AS n FROM mb_songs GROUP BY 1) WHERE trim(token) <> ''")
 def ordered_rule_map(s, d):
     """Labels to broad genres by ordered rules, first match wins."""
-    t = T(s, d, "mb_songs").where(~F.col("genres").contains('"')).select(F.explode(F.split("genres", r"\|")).alias("token")).where("trim(token) <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    t = T(s, d, "mb_songs").select(F.explode(F.split("genres", r"\|")).alias("token")).where("trim(token) <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return t.select("token", genres.broad_genre(F.col("token")).alias("genre"), "n")
 
 
@@ -155,10 +155,12 @@ def fuzzy_match_score(s, d):
 @query()
 def best_match_cascade(s, d):
     """Lyrics for each song: by full credit, else by lead act, else by title and a similar artist."""
+    words = lambda c: F.explode(F.array_distinct(F.split(tx.normalize_text(c), " "))).alias("word")
     songs = T(s, d, "songs_analysis").select("song_id", "title", "artist", tx.normalize_text("title").alias("block"), tx.normalize_text(tx.lead_artist("artist")).alias("lead")).where("block <> ''")
-    l = T(s, d, "lyrics").select(F.col("lyric_id").alias("cand"), F.col("lrclib_title"), F.col("lrclib_artist"), "plain_lyrics", "instrumental", tx.normalize_text("lrclib_title").alias("block")).where("block <> ''")
-    # a busy title brings many candidates; those of one act are told apart by the lead first
-    j = songs.join(l, "block").withColumn("artist_score", resolve.artist_similarity(F.col("lrclib_artist"), F.col("artist")))
+    l = T(s, d, "lyrics").select(F.col("lyric_id").alias("cand"), "lrclib_title", "lrclib_artist", "plain_lyrics", "instrumental", tx.normalize_text("lrclib_title").alias("block")).where("block <> ''")
+    # candidates share the title and a word of the credit, so a title that many acts use brings no pairs of strangers
+    pairs = songs.select("song_id", "block", words("artist")).join(l.select("cand", "block", words("lrclib_artist")), ["block", "word"]).where("word <> ''").select("song_id", "cand").distinct()
+    j = pairs.join(songs, "song_id").join(l.drop("block"), "cand").withColumn("artist_score", resolve.artist_similarity(F.col("lrclib_artist"), F.col("artist")))
     full = resolve.token_sort_ratio(tx.normalize_text("artist"), tx.normalize_text("lrclib_artist"))
     lead = resolve.token_sort_ratio(F.col("lead"), tx.normalize_text("lrclib_artist"))
     j = j.withColumns({"full_score": full, "lead_score": lead, "score": resolve.match_score(F.col("title"), F.col("artist"), F.col("lrclib_title"), F.col("lrclib_artist"))})
