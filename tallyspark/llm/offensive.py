@@ -250,9 +250,10 @@ def fit(texts: DataFrame, judged: DataFrame, id_col: str = "song_id", text_col:
     """Fit on at most MAX_JUDGED judged texts, chosen by hash of their id; contradicting or repeated
     judgements of one id count by their mean, null flags and null texts not at all."""
     one = judged.where(F.col(flag_col).isNotNull()).groupBy(id_col).agg(F.avg(flag_col).alias("flag"))
-    sample = (
-        texts.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(one, id_col).orderBy(F.xxhash64(id_col), id_col).limit(MAX_JUDGED).select(id_col, "text", (F.col("flag") > 0.5).cast("int").alias("flag"))
-    )
+    have = texts.where(F.col(text_col).isNotNull()).select(id_col).join(one, id_col).groupBy(id_col).agg(F.first("flag").alias("flag"))
+    # ids are chosen first, so that only the chosen texts travel
+    ids = have.orderBy(F.xxhash64(id_col), id_col).limit(MAX_JUDGED)
+    sample = texts.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("text").alias("text"), (F.first("flag") > 0.5).cast("int").alias("flag"))
     rows = sorted(sample.collect(), key=lambda r: (r[0], r[1]))
     return train([r[1] for r in rows], [r[2] for r in rows])
 
