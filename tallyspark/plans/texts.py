@@ -9,6 +9,8 @@ from tallyspark.functions import genres, text as tx
 from tallyspark.operators import resolve, voting
 from tallyspark.session import read_table as T
 
+#: Credits of one title that a task compares with the lyrics of that title.
+BLOCK_PART = 200
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -155,16 +157,22 @@ def fuzzy_match_score(s, d):
 @query()
 def best_match_cascade(s, d):
     """Lyrics for each song: by full credit, else by lead act, else by title and a similar artist."""
-    words = lambda c: F.explode(F.array_distinct(F.split(tx.normalize_text(c), " "))).alias("word")
-    songs = T(s, d, "songs_analysis").select("song_id", "title", "artist", tx.normalize_text("title").alias("block"), tx.normalize_text(tx.lead_artist("artist")).alias("lead")).where("block <> ''")
-    l = T(s, d, "lyrics").select(F.col("lyric_id").alias("cand"), "lrclib_title", "lrclib_artist", "plain_lyrics", "instrumental", tx.normalize_text("lrclib_title").alias("block")).where("block <> ''")
-    # candidates share the title and a word of the credit, so a title that many acts use brings no pairs of strangers
-    pairs = songs.select("song_id", "block", words("artist")).join(l.select("cand", "block", words("lrclib_artist")), ["block", "word"]).where("word <> ''").select("song_id", "cand").distinct()
-    j = pairs.join(songs, "song_id").join(l.drop("block"), "cand").withColumn("artist_score", resolve.artist_similarity(F.col("lrclib_artist"), F.col("artist")))
+    songs = T(s, d, "songs_analysis").select("song_id", "title", "artist")
+    l = T(s, d, "lyrics").select(F.col("lyric_id").alias("cand"), "lrclib_title", "lrclib_artist", "plain_lyrics", "instrumental")
+    # every credit of a title meets every other once; those of a busy title are spread over tasks
+    ours = songs.select("title", "artist", tx.normalize_text("title").alias("block"), tx.normalize_text(tx.lead_artist("artist")).alias("lead")).where("block <> ''").distinct()
+    parts = ours.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PART).cast("int").alias("parts"))
+    theirs = l.select("lrclib_title", "lrclib_artist", tx.normalize_text("lrclib_title").alias("block")).where("block <> ''").distinct()
+    theirs = theirs.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    ours = ours.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("title", "artist"), F.col("parts")).cast("int"))
     full = resolve.token_sort_ratio(tx.normalize_text("artist"), tx.normalize_text("lrclib_artist"))
     lead = resolve.token_sort_ratio(F.col("lead"), tx.normalize_text("lrclib_artist"))
-    j = j.withColumns({"full_score": full, "lead_score": lead, "score": resolve.match_score(F.col("title"), F.col("artist"), F.col("lrclib_title"), F.col("lrclib_artist"))})
-    j = j.withColumn("stage", F.when(F.col("full_score") >= 90, 1).when(F.col("lead_score") >= 90, 2).when(F.col("artist_score") >= resolve.TITLE_ONLY_FLOOR, 3)).where("stage IS NOT NULL")
+    pairs = ours.join(theirs, ["block", "part"]).withColumns({"full_score": full, "lead_score": lead, "artist_score": resolve.artist_similarity(F.col("lrclib_artist"), F.col("artist"))})
+    pairs = pairs.withColumn("stage", F.when(F.col("full_score") >= 90, 1).when(F.col("lead_score") >= 90, 2).when(F.col("artist_score") >= resolve.TITLE_ONLY_FLOOR, 3)).where("stage IS NOT NULL")
+    pairs = pairs.withColumn("score", resolve.match_score(F.col("title"), F.col("artist"), F.col("lrclib_title"), F.col("lrclib_artist")))
+    pairs = pairs.select(F.col("title").alias("t"), F.col("artist").alias("a"), F.col("lrclib_title").alias("lt"), F.col("lrclib_artist").alias("la"), "full_score", "stage", "score")
+    j = songs.join(pairs, F.col("title").eqNullSafe(F.col("t")) & F.col("artist").eqNullSafe(F.col("a")))
+    j = j.join(l, F.col("lt").eqNullSafe(F.col("lrclib_title")) & F.col("la").eqNullSafe(F.col("lrclib_artist")))
     best = resolve.best_of_cascade(j, ["song_id"], text="plain_lyrics", instrumental="instrumental")
     return best.select("song_id", "cand", "stage", "score")
 

@@ -113,6 +113,17 @@ def test_token_sort():
     assert resolve.token_sort("new york mets", "mets york new") == 100 and resolve.token_sort("", "") == 0 and resolve.token_sort(None, "a") == 0
 
 
+def test_cascade_joined_and_typed_names(spark, tmp_path):
+    """A candidate that passes a stage's threshold counts even if its credit shares no whole word."""
+    from tallyspark.plans import texts
+
+    songs = [(1, "Faded Quilt", "LilSimpbansimp"), (2, "Midnight Jacket", "Kathy Falflutthkrurr"), (3, "Other", "Bo Zornfeld"), (4, "Faded Quilt", "Cy Polmarket"), (5, None, "Bo Zornfeld")]
+    lyrics = [(10, "Faded Quilt", "Lil Simpbansimp", "la", False), (11, "Midnight Jacket", "Katherine Falfluthkrurr", "la", False), (12, "Other", "Ann Kulkevtaz", "la", False), (13, "Faded Quilt", None, "la", False)]
+    spark.createDataFrame(songs, "song_id long, title string, artist string").write.parquet(f"{tmp_path}/songs_analysis.parquet")
+    spark.createDataFrame(lyrics, "lyric_id long, lrclib_title string, lrclib_artist string, plain_lyrics string, instrumental boolean").write.parquet(f"{tmp_path}/lyrics.parquet")
+    assert {(r.song_id, r.cand) for r in texts.best_match_cascade(spark, str(tmp_path)).collect()} == {(1, 10), (2, 11)}
+
+
 def test_cascade(spark):
     rows = [(1, 2, 1, 80, 80, None, True), (1, 2, 2, 75, 70, "words", False), (1, 3, 3, 99, 99, "words", False), (2, 1, 4, 50, 50, None, True), (2, 2, 5, 60, 50, None, True), (3, 1, 7, 80, 90, "b", False), (3, 1, 6, 80, 90, "a", False)]
     df = spark.createDataFrame(rows, "id int, stage int, cand int, score int, full_score int, text string, instrumental boolean")
