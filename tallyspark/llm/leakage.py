@@ -141,29 +141,30 @@ def _reach(d: list[int], p: list[int], i: int, j: int, step: int) -> dict[tuple[
     start = j
     out: dict[tuple[int, int], int] = {}
     most = STRETCH * 2 // ONE_IN
-    states = {(0, 0): {slide(i, j)}}
+    # places to go on from, with the words that must still match behind a notice
+    states: dict[tuple[int, int], set[tuple[int, int, int]]] = {(0, 0): {(i, j, 0)}}
     for e in range(most):
         for n in (0, 1):
-            here = states.get((e, n), set())
-            for a, b in list(here):
+            for a, b, need in states.get((e, n), ()):
+                y, z = slide(a, b)
+                left = max(0, need - abs(z - b))
+                # a stretch ends on a matching word, never on an alteration
+                if not left and (z != b or (e, n) == (0, 0)):
+                    out[(e, n)] = max(out.get((e, n), 0), abs(z - start))
+                if not 0 <= z < np_:
+                    continue
                 if n == 0:
+                    # behind the notice some word must match within the edits that are left
+                    near = {p[z + step * v] for v in range(most - e) if 0 <= z + step * v < np_} - {0}
                     to = states.setdefault((e, 1), set())
                     for k in range(1, NOTICE + 1):
-                        x = a + step * k
+                        x = y + step * k
                         if not 0 <= x < nd:
                             break
-                        if 0 <= b < np_ and d[x] == p[b] and d[x]:
-                            y, z = slide(x, b)
-                            if abs(z - b) >= 2:
-                                to.add((y, z))
+                        if any(0 <= x + step * u < nd and d[x + step * u] in near for u in range(most - e)):
+                            to.add((x, z, 2))
                 if e + 1 < most:
-                    to = states.setdefault((e + 1, n), set())
-                    for x, y in ((a + step, b + step), (a + step, b), (a, b + step)):
-                        if 0 <= x < nd and 0 <= y < np_ and d[x] == p[y] and d[x]:
-                            to.add(slide(x, y))
-    for key, here in states.items():
-        if here:
-            out[key] = max(abs(b - start) for _, b in here)
+                    states.setdefault((e + 1, n), set()).update(((y + step, z + step, left), (y + step, z, left), (y, z + step, left)))
     return out
 
 

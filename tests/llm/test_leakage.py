@@ -51,6 +51,35 @@ def test_alterations():
     assert not found(list(reversed(p)), p)
 
 
+def test_alterations_side_by_side():
+    p = [f"a{i}" for i in range(40)]
+    notice = "this text continues after a short word from us".split()
+    assert found(p[5:12] + ["x", "y"] + p[14:21], p)  # two changed
+    assert found(p[5:12] + p[14:21], p)  # two dropped
+    assert found(p[5:13] + ["x", "y"] + p[13:21], p)  # two added
+    assert found(p[5:11] + ["x"] + notice + p[12:18], p) and found(p[5:11] + notice + ["x"] + p[12:18], p)  # changed beside the notice
+    assert found(p[5:11] + notice + p[12:18], p)  # dropped beside the notice
+    assert not found(p[5:11] + ["x", "y"] + p[13:18], p)  # two in thirteen
+    assert not found(p[5:11] + notice + p[11:16] + ["x"], p)  # an edit is no end
+
+
+def test_finds_all_with_firm_ends():
+    """Alterations inside a stretch are all found, wherever they stand."""
+    rng = random.Random(8)
+    p = [f"a{i}" for i in range(40)]
+    for _ in range(300):
+        n = rng.randint(12, 23)
+        part = [[w] for w in p[7 : 7 + n]]
+        for _ in range(n // L.ONE_IN):
+            i = rng.randrange(1, n - 1)
+            if part[i] == [p[7 + i]]:
+                part[i] = rng.choice([["zz"], [], [p[7 + i], "zz"]])
+        if rng.random() < 0.5:
+            part.insert(rng.randrange(3, n - 2), ["notice"] * rng.randint(1, L.NOTICE))
+        doc = [w for x in part for w in x]
+        assert found(doc, p), doc
+
+
 def test_sketch_is_exact():
     assert L.least_intact() >= 1
     assert L.expected_candidates(9, L.sketch_size(9, L.least_intact()), L.least_intact()) == 0.0
