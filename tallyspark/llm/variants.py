@@ -5,7 +5,8 @@ words is banded together with the first letters of all words; bands and rows fol
 collision curve (see bands_for). Inside a bucket a string is compared, by Monge-Elkan similarity with
 rules for initials, nicknames, abbreviations and typing slips, only with the centres found so far,
 most frequent first: the work is strings times acts, never all pairs. Buckets beyond a size are split
-by hash and their centres meet in a second round. Star clustering then hangs every string on its
+by hash; their centres meet in a second round, and every string is then compared with the centres that
+are left, until the edges are those of the bucket unsplit. Star clustering then hangs every string on its
 best centre, and hanging stars on stars ends in one centre per act.
 """
 
@@ -261,11 +262,13 @@ class _Star:
             got = self.known[name] = readings(name)
         return got
 
-    def add(self, name: str, n: int) -> list[tuple[str, float]]:
-        """The centres that the string matches; without one it becomes a centre itself."""
+    def matches(self, name: str, n: int) -> list[tuple[str, float]]:
+        """The centres before the string, more frequent or equally so and less by name, that it matches."""
         got = []
         read = self.read(name)
         for centre, cn, cread in self.centres:
+            if (-cn, centre) >= (-n, name):
+                continue
             s = self.seen.get((name, centre))
             if s is None:
                 s = similarity(read, cread)
@@ -276,13 +279,21 @@ class _Star:
                 self.seen[(name, centre)] = s
             if s:
                 got.append((centre, s))
+        return got
+
+    def add(self, name: str, n: int) -> list[tuple[str, float]]:
+        """The centres that the string matches; without one it becomes a centre itself."""
+        got = self.matches(name, n)
         if not got:
-            self.centres.append((name, n, read))
+            self.centres.append((name, n, self.read(name)))
         return got
 
 
-def spelling_edges(names: DataFrame) -> DataFrame:
-    """(name, centre, similarity) from (name, n): every string with the centres it matched."""
+def spelling_edges(names: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(name, centre, similarity) from (name, n): every string with the centres it matched.
+
+    bucket is the number of strings beyond which a bucket is split; the edges don't depend on it.
+    """
     words = names.select("name", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("name", r"(?U)[^\p{L}\p{N} ]", "")), " "))).alias("w")).where("w != ''")
     total = names.count()
     # at most words per name divided by the share, whatever the size of the data
@@ -300,7 +311,7 @@ def spelling_edges(names: DataFrame) -> DataFrame:
     rows = names.mapInPandas(keys, "bucket string, name string, n long")
     rows = rows.withColumn("b", F.xxhash64("bucket")).select("b", "name", "n")
     sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("name", "b"), F.ceil(F.col("size") / BUCKET)))
+    rows = rows.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("name", "b"), F.ceil(F.col("size") / bucket)))
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         star, now = _Star(), None
@@ -311,19 +322,50 @@ def spelling_edges(names: DataFrame) -> DataFrame:
                     star.start()
                     now = (b, salt)
                 got = star.add(name, n)
-                out += [(name, c, s, 0, n, False) for c, s in got]
-                if not got and size > BUCKET:
+                out += [(name, c, s, b, n, size > bucket) for c, s in got]
+                if not got and size > bucket:
                     out.append((name, None, 0.0, b, n, True))
             if out:
                 yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n", "split"]).astype({"name": object, "centre": object})
 
+    def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        star, now = _Star(), None
+        for pdf in batches:
+            out = []
+            for b, salt, role, name, n in zip(pdf["b"], pdf["salt"], pdf["role"], pdf["name"], pdf["n"], strict=True):
+                if (b, salt) != now:
+                    star.start()
+                    now, own = (b, salt), set()
+                if role == 0:
+                    star.centres.append((name, n, star.read(name)))
+                    own.add(name)
+                elif name not in own:
+                    got = star.matches(name, n)
+                    out += [(name, c, s, b, n, True) for c, s in got] or [(name, None, 0.0, b, n, True)]
+            if out:
+                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n", "split"]).astype({"name": object, "centre": object})
+
     def grouped(df: DataFrame) -> DataFrame:
         return df.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("n"), "name").select("b", "salt", "size", "name", "n").mapInPandas(stars, kind)
 
     kind = "name string, centre string, similarity double, b long, n long, split boolean"
     first = cut(grouped(rows))
-    again = grouped(first.where("split").select("b", F.lit(0).cast("long").alias("salt"), F.lit(0).cast("long").alias("size"), "name", "n"))
-    return first.where("not split").unionByName(again).select("name", "centre", "similarity").groupBy("name", "centre").agg(F.max("similarity").alias("similarity"))
+    edges = first.where("not split")
+    centres = first.where("split AND centre IS NULL").select("b", "name", "n")
+    if centres.limit(1).count():
+        strings = cut(rows.where(F.col("size") > bucket).select("b", "salt", "name", "n"))
+        salts = strings.select("b", "salt").distinct()
+        # a string that no centre left over matches is a centre of the unsplit bucket or hides behind one: it joins the next round
+        while True:
+            left = cut(grouped(centres.select("b", F.lit(0).cast("long").alias("salt"), F.lit(bucket + 1).cast("long").alias("size"), "name", "n"))).where("centre IS NULL")
+            both = left.select("b", "name", "n").join(salts, "b").withColumn("role", F.lit(0)).unionByName(strings.withColumn("role", F.lit(1)))
+            met = cut(both.repartition("b", "salt").sortWithinPartitions("b", "salt", "role", F.desc("n"), "name").select("b", "salt", "role", "name", "n").mapInPandas(against, kind))
+            alone = met.where("centre IS NULL").select("b", "name", "n")
+            if not alone.limit(1).count():
+                break
+            centres = cut(centres.unionByName(alone))
+        edges = edges.unionByName(met)
+    return edges.select("name", "centre", "similarity").groupBy("name", "centre").agg(F.max("similarity").alias("similarity"))
 
 
 def cluster(names: DataFrame) -> DataFrame:

@@ -108,3 +108,17 @@ def test_table(spark):
     got = {tuple(r) for r in v.linked_spellings(df, ("Duck, Drake & Hen",)).collect()}
     assert got == {("A Kulkev", "a kulkev"), ("Duck, Drake & Hen", "Duck, Drake and Hen")}
     assert v.linked_spellings(df.limit(0), ()).count() == 0
+
+
+def test_split_buckets_give_the_edges_of_whole_ones(spark):
+    """How a bucket is split changes no edge, whichever centres a spelling meets first."""
+    import random
+
+    rng = random.Random(4)
+    given = ["Joseph", "Joe", "J.", "John", "Jonathan", "Jack", "Joey", "James", "Jim"]
+    family = ["Kulkevtaz", "Kulkevtas", "Kulkevta", "Kulkefdas", "Kulkvetaz", "Kullkevtaz"]
+    names = [(f"{x} {y}", rng.randint(1, 60)) for x in given for y in family]
+    df = spark.createDataFrame(names, "name string, n long")
+    rows = lambda bucket: {(r.name, r.centre, round(r.similarity, 6)) for r in v.spelling_edges(df, bucket).collect()}
+    whole = rows(10_000)
+    assert whole and rows(4) == whole
