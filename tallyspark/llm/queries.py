@@ -75,7 +75,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shares(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subject_shares(read_table(spark, d, "documents"), read_table(spark, d, "subject_labels"))
+    return subjects.subject_shares(read_table(spark, d, "documents"), read_table(spark, d, "subject_labels"), read_table(spark, d, "subject_areas"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
