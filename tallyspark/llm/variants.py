@@ -1,13 +1,14 @@
 """Spellings of names typed by people, linked to the act they mean.
 
-Distinct strings only take part, with their counts. MinHash over padded letter pairs of the rarer
-words is banded together with the first letters of all words; bands and rows follow from the
-collision curve (see bands_for). Inside a bucket a string is compared, by Monge-Elkan similarity with
-rules for initials, nicknames, abbreviations and typing slips, only with the centres found so far,
-most frequent first: the work is strings times acts, never all pairs. Buckets beyond a size are split
-by hash; their centres meet in a second round, and every string is then compared with the centres that
-are left, until the edges are those of the bucket unsplit. Star clustering then hangs every string on its
-best centre, and hanging stars on stars ends in one centre per act.
+Distinct strings only take part, with their counts. MinHash over padded letter pairs of all words but
+known titles and given names is banded together with the first letters of all words; bands and rows follow
+from the collision curve (see bands_for). Words whose first letter slipped meet through exact keys of the
+rest of the word. Inside a bucket a string is compared, by Monge-Elkan similarity with rules for initials,
+nicknames, abbreviations and typing slips, only with the centres found so far, most frequent first: the work
+is strings times acts, never all pairs. Buckets beyond a size take their strings a chunk at a time, each
+chunk's centres being shown to all other strings over many tasks; the edges are those of the bucket taken
+at once. Star clustering then hangs every string on its best centre, and hanging stars on stars ends in one
+centre per act.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.packed import protected_pattern, split_packed
@@ -30,10 +31,8 @@ SIMILAR, RECALL = 0.45, 0.985
 ROWS = 2
 #: Letters of a gram.
 GRAM = 2
-#: A word is common if it stands in more than this share of the distinct strings.
-COMMON_SHARE = 0.002
-#: Strings of a bucket that one task compares; larger buckets are split by hash.
-BUCKET = 1500
+#: Strings of a bucket that one task compares with each other; a larger bucket takes several rounds, with the same edges.
+BUCKET = 1000
 #: A string at least this frequent, and at least this share of the other, is no typing slip of it.
 OFTEN, OFTEN_SHARE = 8, 0.25
 
@@ -50,8 +49,8 @@ NICKNAMES = {
 #: Short forms of titles and of words for groups.
 SHORT_FORMS = {
     "professor": "prof", "doctor": "dr doc", "general": "gen genl", "major": "maj", "captain": "capt cap cpt", "saint": "st ste", "sister": "sis sr", "mister": "mr", "missus": "mrs", "lieutenant": "lt", "sergeant": "sgt", "colonel": "col",
-    "old": "ol ole", "little": "lil", "young": "yung yng", "baby": "bby", "king": "kng", "queen": "qn", "prince": "prnc", "brother": "bro", "father": "fr", "reverend": "rev", "deejay": "dj", "emcee": "mc", "uncle": "unc",
-    "quartet": "qrt qtet quart qt", "quintet": "qnt", "sisters": "sis", "brothers": "bros", "philharmonic": "phil", "department": "dept dpt", "company": "co", "association": "assn assoc", "incorporated": "inc", "limited": "ltd",
+    "old": "ol ole", "little": "lil", "young": "", "baby": "", "king": "", "queen": "", "prince": "", "brother": "bro", "father": "fr", "reverend": "rev", "deejay": "dj", "emcee": "mc", "uncle": "unc",
+    "quartet": "qtet quart qt", "quintet": "qnt", "sisters": "sis", "brothers": "bros", "philharmonic": "phil", "department": "dept dpt", "company": "co", "association": "assn assoc", "incorporated": "inc", "limited": "ltd",
     "orchestra": "orch", "international": "intl int", "foundation": "fdn found", "society": "soc", "collective": "coll", "ensemble": "ens", "symphony": "sym symph", "experience": "exp", "brigade": "brig bde", "mountain": "mtn mt",
     "street": "st", "family": "fam", "corporation": "corp", "junior": "jr", "senior": "snr", "project": "proj",
 }
@@ -143,6 +142,17 @@ class _Sparse(dict):
         return self.far
 
 
+def squeezed(w: str) -> str:
+    """The word without the vowels after its first letter, as in "kng"."""
+    return w[:1] + re.sub(r"[aeiou]", "", w[1:])
+
+
+def _thinned(short: str, long: str) -> bool:
+    """Whether short is long without vowels, some of the doubled or later consonants missing too."""
+    bones = squeezed(long)
+    return squeezed(short) == short and short[0] == long[0] and len(short) >= len(bones) - 1 and all(c in it for it in [iter(bones)] for c in short)
+
+
 def word_similarity(a: Word, b: Word) -> float:
     """1 for the same word, less for a nickname, an abbreviation, a slip or an initial, else 0."""
     x, y = a[0], b[0]
@@ -159,6 +169,9 @@ def word_similarity(a: Word, b: Word) -> float:
     if fx and fy and x in fx and y in fy:
         return 0.0
     short, long = (a, b) if len(x) < len(y) else (b, a)
+    # a known word written without its vowels, or with the last of a run of consonants only
+    if long[0] in _LONG and short[0] not in _LONG and len(short[0]) >= 2 and _thinned(short[0], long[0]):
+        return 0.95
     if short[1] and len(short[0]) >= 2 and long[0].startswith(short[0]):
         return 0.95
     if min(len(x), len(y)) < 3 or max(len(x), len(y)) < 4:
@@ -176,12 +189,21 @@ def word_similarity(a: Word, b: Word) -> float:
     return 0.0
 
 
+def monge_elkan(a: Sequence[Word], b: Sequence[Word]) -> float:
+    """Mean, over the words of either side, of the likeness of the best partner on the other; the lesser of both sides."""
+
+    def one(x: Sequence[Word], y: Sequence[Word]) -> float:
+        return sum(max((word_similarity(w, v) for v in y), default=0.0) for w in x) / max(1, len(x))
+
+    return min(one(a, b), one(b, a))
+
+
 def _match(a: Sequence[Word], b: Sequence[Word]) -> float:
-    """Monge-Elkan similarity of two readings; every word needs a partner of its own, else 0."""
+    """Monge-Elkan similarity of two readings, verified: every word needs a partner of its own, else 0."""
     if len(a) != len(b):
         return 0.0
     left = list(b)
-    total, loose = 0.0, 0
+    loose = 0
     for w in sorted(a, key=lambda x: -len(x[0])):
         best, at = 0.0, -1
         for k, v in enumerate(left):
@@ -191,10 +213,9 @@ def _match(a: Sequence[Word], b: Sequence[Word]) -> float:
         if best < 0.8:
             return 0.0
         loose += best < 0.93
-        total += best
         left.pop(at)
     full = any(len(w[0]) > 3 and any(word_similarity(w, v) >= 0.83 for v in b) for w in a)
-    return total / len(a) if full and loose <= 2 and not (loose == len(a) and loose > 1) else 0.0
+    return monge_elkan(a, b) if full and loose <= 2 and not (loose == len(a) and loose > 1) else 0.0
 
 
 def similarity(a: list[list[Word]], b: list[list[Word]]) -> float:
@@ -223,13 +244,14 @@ def _min_hashes(grams: set[str], seeds: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).min(axis=0)
 
 
-def bucket_keys(name: str, common: frozenset[str], bands: int, params: np.ndarray) -> list[str]:
-    """Keys of the buckets of a name: for each reading, band by band, with the words' first letters."""
+def bucket_keys(name: str, bands: int, params: np.ndarray) -> list[str]:
+    """Keys of the buckets of a name: for each reading, band by band, with the words' first letters, and
+    for each word that may have slipped in its first letter the rest of it with the other words' letters."""
     out: dict[str, None] = {}
     for words in readings(name):
-        forms = [[next(iter(sorted(_LONG[w]))) if w in _LONG else w] for w, _ in words]
-        rare = [w for w, _ in words if w not in common and w not in _LONG and len(w) > 2] or [w for w, _ in words if w not in _LONG and len(w) > 1] or [w for w, _ in words]
-        grams = {p[i : i + GRAM] for p in (f"^{w}$" for w in rare) for i in range(len(p) - GRAM + 1)}
+        forms = [[_canonical(w)] for w, _ in words]
+        kept = [w for w, _ in words if w not in _LONG and len(w) > 2] or [w for w, _ in words if w not in _LONG and len(w) > 1] or [w for w, _ in words]
+        grams = {p[i : i + GRAM] for p in (f"^{w}$" for w in kept) for i in range(len(p) - GRAM + 1)}
         sig = _min_hashes(grams, params)
         letters = "".join(sorted(f[0][0] for f in forms))
         alts = {letters}
@@ -240,9 +262,26 @@ def bucket_keys(name: str, common: frozenset[str], bands: int, params: np.ndarra
             band = _h(",".join(map(str, sig[n * ROWS : (n + 1) * ROWS])))
             for x in alts:
                 out[f"{n}:{x}:{band}"] = None
+        for k, (w, _) in enumerate(words):
+            if len(w) > 3:
+                others = "".join(sorted(f[0][0] for i, f in enumerate(forms) if i != k))
+                for rest in first_slips(w):
+                    out[f"f:{others}:{rest}"] = None
     return list(out)
 
 
+def _canonical(w: str) -> str:
+    return min(_LONG[w]) if w in _LONG else w
+
+
+def first_slips(w: str) -> set[str]:
+    """What words that differ in a slip at the first letter, and in long words in one more, have in common."""
+    out = {w, w[1:], w[2:]}
+    if len(w) >= 8:
+        out |= {x[:i] + x[i + 1 :] for x in (w, w[1:], w[2:]) for i in range(len(x))}
+    return out
+
+
 class _Star:
     """Star clustering of one bucket as its strings come in, most frequent first."""
 
@@ -292,79 +331,75 @@ class _Star:
 def spelling_edges(names: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(name, centre, similarity) from (name, n): every string with the centres it matched.
 
-    bucket is the number of strings beyond which a bucket is split; the edges don't depend on it.
+    bucket is the number of strings beyond which a bucket takes several rounds; the edges don't depend on it.
     """
-    words = names.select("name", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("name", r"(?U)[^\p{L}\p{N} ]", "")), " "))).alias("w")).where("w != ''")
-    total = names.count()
-    # at most words per name divided by the share, whatever the size of the data
-    common = frozenset(plain(r[0]) for r in words.groupBy("w").count().where(F.col("count") > max(10.0, COMMON_SHARE * total)).select("w").collect())
+    spark = names.sparkSession
     bands = bands_for()
-    held = names.sparkSession.sparkContext.broadcast(common)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = _params(bands * ROWS)
         for pdf in batches:
-            out = [(k, x, n) for x, n in zip(pdf["name"], pdf["n"], strict=True) for k in bucket_keys(x, held.value, bands, params)]
+            out = [(k, x, n) for x, n in zip(pdf["name"], pdf["n"], strict=True) for k in bucket_keys(x, bands, params)]
             if out:
                 yield pd.DataFrame(out, columns=["bucket", "name", "n"]).astype({"bucket": object, "name": object})
 
-    rows = names.mapInPandas(keys, "bucket string, name string, n long")
-    rows = rows.withColumn("b", F.xxhash64("bucket")).select("b", "name", "n")
+    # few bytes but slow to handle, so not left to the size of partitions
+    rows = names.repartition(parts).mapInPandas(keys, "bucket string, name string, n long").select(F.xxhash64("bucket").alias("b"), "name", "n").distinct()
+    rows = cut(rows)
     sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("name", "b"), F.ceil(F.col("size") / bucket)))
+    rows = rows.join(sizes, "b")
+    kind = "name string, centre string, similarity double, b long, n long"
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Edges of whole buckets or chunks; a row without a centre says that the string is one."""
         star, now = _Star(), None
         for pdf in batches:
             out = []
-            for b, salt, size, name, n in zip(pdf["b"], pdf["salt"], pdf["size"], pdf["name"], pdf["n"], strict=True):
-                if (b, salt) != now:
+            for b, name, n in zip(pdf["b"], pdf["name"], pdf["n"], strict=True):
+                if b != now:
                     star.start()
-                    now = (b, salt)
-                got = star.add(name, n)
-                out += [(name, c, s, b, n, size > bucket) for c, s in got]
-                if not got and size > bucket:
-                    out.append((name, None, 0.0, b, n, True))
+                    now = b
+                out += [(name, c, s, b, n) for c, s in star.add(name, n)] or [(name, None, 0.0, b, n)]
             if out:
-                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n", "split"]).astype({"name": object, "centre": object})
+                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n"]).astype({"name": object, "centre": object})
 
     def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Edges of strings (role 1) with the centres of a chunk (role 0)."""
         star, now = _Star(), None
         for pdf in batches:
             out = []
             for b, salt, role, name, n in zip(pdf["b"], pdf["salt"], pdf["role"], pdf["name"], pdf["n"], strict=True):
                 if (b, salt) != now:
                     star.start()
-                    now, own = (b, salt), set()
+                    now = (b, salt)
                 if role == 0:
                     star.centres.append((name, n, star.read(name)))
-                    own.add(name)
-                elif name not in own:
-                    got = star.matches(name, n)
-                    out += [(name, c, s, b, n, True) for c, s in got] or [(name, None, 0.0, b, n, True)]
+                else:
+                    out += [(name, c, s, b, n) for c, s in star.matches(name, n)]
             if out:
-                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n", "split"]).astype({"name": object, "centre": object})
+                yield pd.DataFrame(out, columns=["name", "centre", "similarity", "b", "n"]).astype({"name": object, "centre": object})
 
     def grouped(df: DataFrame) -> DataFrame:
-        return df.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("n"), "name").select("b", "salt", "size", "name", "n").mapInPandas(stars, kind)
-
-    kind = "name string, centre string, similarity double, b long, n long, split boolean"
-    first = cut(grouped(rows))
-    edges = first.where("not split")
-    centres = first.where("split AND centre IS NULL").select("b", "name", "n")
-    if centres.limit(1).count():
-        strings = cut(rows.where(F.col("size") > bucket).select("b", "salt", "name", "n"))
+        return df.select("b", "name", "n").repartition(parts, "b").sortWithinPartitions("b", F.desc("n"), "name").mapInPandas(stars, kind)
+
+    edges = cut(grouped(rows.where(F.col("size") <= bucket))).where("centre IS NOT NULL")
+    large = rows.where(F.col("size") > bucket)
+    if large.limit(1).count():
+        strings = cut(large.withColumn("salt", F.pmod(F.xxhash64("name", "b"), F.ceil(F.col("size") / bucket))).select("b", "salt", "name", "n"))
         salts = strings.select("b", "salt").distinct()
-        # a string that no centre left over matches is a centre of the unsplit bucket or hides behind one: it joins the next round
-        while True:
-            left = cut(grouped(centres.select("b", F.lit(0).cast("long").alias("salt"), F.lit(bucket + 1).cast("long").alias("size"), "name", "n"))).where("centre IS NULL")
-            both = left.select("b", "name", "n").join(salts, "b").withColumn("role", F.lit(0)).unionByName(strings.withColumn("role", F.lit(1)))
-            met = cut(both.repartition("b", "salt").sortWithinPartitions("b", "salt", "role", F.desc("n"), "name").select("b", "salt", "role", "name", "n").mapInPandas(against, kind))
-            alone = met.where("centre IS NULL").select("b", "name", "n")
-            if not alone.limit(1).count():
-                break
-            centres = cut(centres.unionByName(alone))
-        edges = edges.unionByName(met)
+        order = Window.partitionBy("b").orderBy(F.desc("n"), "name")
+        left = strings.select("b", "name", "n")
+        # chunk by chunk in order: the strings of a chunk among each other, then all others against its centres
+        while left.limit(1).count():
+            chunk = cut(left.withColumn("at", F.row_number().over(order)).where(F.col("at") <= bucket).drop("at"))
+            own = cut(grouped(chunk))
+            centres = own.where("centre IS NULL").select("b", "name", "n")
+            others = strings.join(chunk.select("b", "name"), ["b", "name"], "left_anti")
+            both = centres.join(salts, "b").withColumn("role", F.lit(0)).unionByName(others.withColumn("role", F.lit(1)))
+            met = cut(both.repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "role", F.desc("n"), "name").select("b", "salt", "role", "name", "n").mapInPandas(against, kind))
+            edges = edges.unionByName(own.where("centre IS NOT NULL")).unionByName(met)
+            left = cut(left.join(chunk.select("b", "name"), ["b", "name"], "left_anti").join(met.select("b", "name").distinct(), ["b", "name"], "left_anti"))
     return edges.select("name", "centre", "similarity").groupBy("name", "centre").agg(F.max("similarity").alias("similarity"))
 
 
