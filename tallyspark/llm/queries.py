@@ -24,6 +24,10 @@ def p2_scored(spark: SparkSession, d: str) -> DataFrame:
     return matching.matched_rows(read_table(spark, d, "mb_songs"), _protected(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return matching.song_classes(read_table(spark, d, "mb_songs"), _protected(spark, d))
+
+
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
     return truncated.score_cuts(read_table(spark, d, "lyrics"))
 
@@ -87,7 +91,7 @@ def p8_make_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_scored, p3_found, p3_rates, p4_found, p4_acts, p5_found, p5_scores, p5_rates, p6_ids, p7_found, p7_items, p8_found, p8_make_up)}
+    return {f.__name__: f for f in (p2_found, p2_scored, p2_classes, p3_found, p3_rates, p4_found, p4_acts, p5_found, p5_scores, p5_rates, p6_ids, p7_found, p7_items, p8_found, p8_make_up)}
 
 
 def oracle_sql() -> dict[str, str]:
