@@ -13,6 +13,7 @@ centre per act.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -153,6 +154,16 @@ def _thinned(short: str, long: str) -> bool:
     return squeezed(short) == short and short[0] == long[0] and len(short) >= len(bones) - 1 and all(c in it for it in [iter(bones)] for c in short)
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def letters_of(w: str) -> int:
+    """A bit for each letter that stands in the word."""
+    out = 0
+    for c in w:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@functools.lru_cache(maxsize=1 << 17)
 def word_similarity(a: Word, b: Word) -> float:
     """1 for the same word, less for a nickname, an abbreviation, a slip or an initial, else 0."""
     x, y = a[0], b[0]
@@ -176,7 +187,8 @@ def word_similarity(a: Word, b: Word) -> float:
         return 0.95
     if min(len(x), len(y)) < 3 or max(len(x), len(y)) < 4:
         return 0.0
-    d = slips(x, y, 2)
+    # two slips change four letters at most
+    d = slips(x, y, 2) if (letters_of(x) ^ letters_of(y)).bit_count() <= 4 else 3
     long_n = max(len(x), len(y))
     if d == 1 and (fx is None) != (fy is None):
         return 0.94  # a slip in a known title or given name, of which there are few
@@ -275,10 +287,14 @@ def _canonical(w: str) -> str:
 
 
 def first_slips(w: str) -> set[str]:
-    """What words that differ in a slip at the first letter, and in long words in one more, have in common."""
+    """What words that differ in a slip at the first letter, and in long words in one more, have in common.
+
+    One slip leaves the rest from the second or third letter on. A second one lies among the last four letters
+    or before them, so that either these or four letters near the beginning stay.
+    """
     out = {w, w[1:], w[2:]}
     if len(w) >= 8:
-        out |= {x[:i] + x[i + 1 :] for x in (w, w[1:], w[2:]) for i in range(len(x))}
+        out |= {w[1:5], w[2:6], w[3:7], w[-4:] + "$"}
     return out
 
 
