@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.session import cut
+
 #: Chance that so many texts share a length by accident, below which the length is a candidate limit.
 LIMIT_P = 1e-6
 #: Fewest texts at a candidate limit.
@@ -47,47 +49,70 @@ def _words(c: Column) -> Column:
 
 
 def last_lines(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Per text: its other lines, its last line with a word, and what stands after it."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace(F.col("text"), "\r\n?", "\n"), "\n"), lambda x: F.trim(_clean_line(x))), lambda x: x != "")
+    """Per text: its other lines as they stand, its last line with a word, and what stands after it."""
+    raw = F.split(F.regexp_replace("text", r"(?:\s|(?<=[\r\n])\[\d[\d:.]*\])+$", ""), "\r\n?|\n")
     return (
         df.select(F.col(id_col), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
         .where(F.length(F.trim("text")) > 0)
-        .withColumn("lines", lines)
-        .where(F.size("lines") > 0)
-        .withColumn("last", F.try_element_at("lines", F.lit(-1)))
+        .select(id_col, "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), raw.alias("raw"))
+        .withColumn("last", F.trim(_clean_line(F.try_element_at("raw", F.lit(-1)))))
+        .where("last <> ''")
         .withColumn("body", F.regexp_replace("last", _TAIL, ""))
         .withColumn("tail", F.col("body") != F.col("last"))
         .withColumn("body", F.regexp_replace("body", _REMARK, ""))
-        .withColumn("chars", F.length("text"))
-        .withColumn("bytes", F.octet_length("text"))
     )
 
 
-def line_grams(texts: DataFrame, id_col: str) -> DataFrame:
+def line_grams(texts: DataFrame) -> DataFrame:
     """(ctx, nxt, n): how often a word, or the line's end "$", follows a context in the corpus.
 
     Contexts are the last four and the last two words, with "^" for the line's start. The last line
-    of each text is left out, since it may be cut. Equal lines are counted before they are split.
+    of each text is left out, since it may be cut. Equal lines are counted before anything is made of
+    them. Rows may repeat.
     """
+    raw = texts.select(F.explode(F.slice("raw", 1, F.greatest(F.size("raw") - 1, F.lit(0)))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     lines = (
-        texts.select(F.explode(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
-        .select(F.lower(F.regexp_replace(F.regexp_replace("line", _REMARK, ""), r"(?U)[^\p{L}\p{N}'’*@$!]+$", "")).alias("line"))
+        raw.select("n", F.trim(_clean_line(F.col("line"))).alias("line"))
+        .where("line <> ''")
+        .select("n", F.lower(F.regexp_replace(F.regexp_replace("line", _REMARK, ""), r"(?U)[^\p{L}\p{N}'’*@$!]+$", "")).alias("line"))
         .where(F.col("line") != "")
         .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
-
     t = F.concat(F.array(F.lit("^")), _words(F.col("line")), F.array(F.lit("$")))
     return (
         lines.select("n", t.alias("t"))
         .where(F.size("t") > 2)
         .select("n", "t", F.explode(F.sequence(F.lit(2), F.size("t"))).alias("i"))
         .select("n", F.try_element_at("t", F.col("i")).alias("nxt"), F.explode(_contexts(F.col("t"), F.col("i") - 1)).alias("ctx"))
-        .groupBy("ctx", "nxt")
-        .agg(F.sum("n").alias("n"))
     )
 
 
+def _known(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """(what, ctx, p, one, two) for the asked (what, ctx, p).
+
+    what "e": followers of the context and how many of them are a line's end. what "w": how often p itself
+    follows, and how often a word that p begins. Beginnings are joined as equal strings, so a common context is no product.
+    """
+    asked = asked.distinct()
+    # the semi-join leaves grams partitioned by context, where they are added up without another shuffle
+    grams = grams.join(asked.select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx", "nxt").agg(F.sum("n").alias("n"))
+    grams = cut(grams)
+    end = F.col("nxt") == "$"
+    ends = grams.groupBy("ctx").agg(F.sum("n").alias("one"), F.sum(F.when(end, F.col("n")).otherwise(0)).alias("two")).select(F.lit("e").alias("what"), "ctx", F.lit("").alias("p"), "one", "two")
+    begun = F.transform(F.sequence(F.lit(1), F.length("nxt")), lambda k: F.struct(F.substring(F.col("nxt"), F.lit(1), k).alias("p"), (k == F.length("nxt")).alias("whole")))
+    word = (
+        grams.where(~end & (F.length("nxt") > 0))
+        .select("ctx", "n", F.explode(begun).alias("x"))
+        .select("ctx", F.col("x.p").alias("p"), "n", "x.whole")
+        .join(asked.where("what = 'w'").select("ctx", "p"), ["ctx", "p"], "left_semi")
+        .groupBy("ctx", "p")
+        .agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("one"), F.sum(F.when(~F.col("whole"), F.col("n")).otherwise(0)).alias("two"))
+        .select(F.lit("w").alias("what"), "ctx", "p", "one", "two")
+    )
+    return ends.unionByName(word)
+
+
 def _contexts(words: Column, end: Column) -> Column:
     """The contexts that end at the 1-based place end: four words, and two marked as such."""
     four = F.slice(words, F.greatest(end - 3, F.lit(1)), F.least(end, F.lit(4)))
@@ -179,47 +204,25 @@ def score_cuts(df: DataFrame, id_col: str = "lyric_id", text_col: str = "plain_l
     all come out. A text that ends in dots, a dash, an interjection or a label counts as its
     last words do. Texts of labels only get posterior 0 but for limits.
     """
-    texts = last_lines(df, id_col, text_col, source_col)
-    grams = line_grams(texts, id_col)
-    limits = limits_of(texts).select("unit", F.col("source").alias("l_source"), "length", "odds")
+    texts = cut(last_lines(df, id_col, text_col, source_col))
+    limits = cut(limits_of(texts)).select("unit", F.col("source").alias("l_source"), "length", "odds")
     w = F.concat(F.array(F.lit("^")), _words(F.col("body")))
-    last = texts.select(id_col, "source", "chars", "bytes", "tail", "last", w.alias("w"), F.col("body").alias("body"))
+    last = texts.select(id_col, "source", "chars", "bytes", "tail", "last", w.alias("w"))
     m = F.size("w")
-    last = (
-        last.withColumn("label", F.col("last").rlike(_LABEL) & ~F.col("last").rlike(_TAIL) | (m < 2))
-        .withColumn("partial", F.try_element_at("w", F.lit(-1)))
-        .withColumn("end_ctx", _contexts(F.col("w"), m))
-        .withColumn("word_ctx", F.when(m > 1, _contexts(F.col("w"), m - 1)).otherwise(F.array(F.lit(""), F.lit(""))))
-    )
+    last = last.withColumn("label", F.col("last").rlike(_LABEL) & ~F.col("last").rlike(_TAIL) | (m < 2)).withColumn("partial", F.try_element_at("w", F.lit(-1)))
     # what follows each context that some text ends on
-    asked = last.where(~F.col("label")).select(F.lit("e").alias("what"), F.lit("").alias("partial"), F.explode("end_ctx").alias("ctx")).unionByName(
-        last.where(~F.col("label")).select(F.lit("w").alias("what"), "partial", F.explode("word_ctx").alias("ctx"))
-    ).distinct()
-    known = (
-        asked.join(grams, "ctx")
-        .groupBy("what", "partial", "ctx")
-        .agg(
-            F.sum("n").alias("total"),
-            F.sum(F.when(F.col("nxt") == "$", F.col("n")).otherwise(0)).alias("ends"),
-            F.sum(F.when(F.col("nxt") == F.col("partial"), F.col("n")).otherwise(0)).alias("same"),
-            F.sum(F.when(F.col("nxt").startswith(F.col("partial")) & (F.col("nxt") != F.col("partial")) & (F.col("nxt") != "$"), F.col("n")).otherwise(0)).alias("longer"),
-        )
-    )
-    ends = known.where("what = 'e'")
-    word = known.where("what = 'w'")
-    e4 = ends.select(F.col("ctx").alias("e4c"), F.col("total").alias("e4n"), F.col("ends").alias("e4e"))
-    e2 = ends.select(F.col("ctx").alias("e2c"), F.col("total").alias("e2n"), F.col("ends").alias("e2e"))
-    w4 = word.select(F.col("ctx").alias("w4c"), F.col("partial").alias("p4"), F.col("same").alias("w4s"), F.col("longer").alias("w4l"))
-    w2 = word.select(F.col("ctx").alias("w2c"), F.col("partial").alias("p2"), F.col("same").alias("w2s"), F.col("longer").alias("w2l"))
+    end, word = _contexts(F.col("w"), m), _contexts(F.col("w"), m - 1)
+    ask = lambda kind, what, ctx, p: F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("what"), ctx.alias("ctx"), p.alias("p"))
+    none, part = F.lit(""), F.col("partial")
+    asked = last.where(~F.col("label")).select(id_col, F.explode(F.array(ask("e4", "e", end[0], none), ask("e2", "e", end[1], none), ask("w4", "w", word[0], part), ask("w2", "w", word[1], part))).alias("x")).select(id_col, "x.*")
+    known = _known(asked.select("what", "ctx", "p"), line_grams(texts))
     c = F.col
-    got = (
-        last.withColumns({"ec4": c("end_ctx")[0], "ec2": c("end_ctx")[1], "wc4": c("word_ctx")[0], "wc2": c("word_ctx")[1]})
-        .join(e4, c("ec4") == c("e4c"), "left")
-        .join(e2, c("ec2") == c("e2c"), "left")
-        .join(w4, (c("wc4") == c("w4c")) & (c("partial") == c("p4")), "left")
-        .join(w2, (c("wc2") == c("w2c")) & (c("partial") == c("p2")), "left")
-        .na.fill(0, ["e4n", "e4e", "e2n", "e2e", "w4s", "w4l", "w2s", "w2l"])
-    )
+    pick = lambda kind, v: F.coalesce(F.max(F.when(c("kind") == kind, c(v))), F.lit(0))
+    of_text = asked.join(known, ["what", "ctx", "p"]).groupBy(id_col).agg(
+        pick("e4", "one").alias("e4n"), pick("e4", "two").alias("e4e"), pick("e2", "one").alias("e2n"), pick("e2", "two").alias("e2e"),
+        pick("w4", "one").alias("w4s"), pick("w4", "two").alias("w4l"), pick("w2", "one").alias("w2s"), pick("w2", "two").alias("w2l"),
+    )
+    got = last.drop("w").join(of_text, id_col, "left").na.fill(0, ["e4n", "e4e", "e2n", "e2e", "w4s", "w4l", "w2s", "w2l"])
     # odds that this ending comes from a cut: places where it goes on against places where it ends
     four = F.log((c("e4n") - c("e4e") + 0.2) / (c("e4e") + 0.2))
     two = F.log((c("e2n") - c("e2e") + 0.2) / (c("e2e") + 0.2))
@@ -235,8 +238,8 @@ def score_cuts(df: DataFrame, id_col: str = "lyric_id", text_col: str = "plain_l
     # a cut falls on a line's end about as often as a line has letters, so no ending speaks more for a whole text
     end_odds = F.least(F.greatest(end_odds, F.lit(-math.log(LETTERS_A_LINE))), F.lit(9.0)) + F.when(c("tail") & ~c("label"), 0.7).otherwise(0.0)
     end_odds = F.when(c("last").rlike(_UNCLOSED), F.lit(9.0)).otherwise(end_odds)
-    bound = F.broadcast(limits.where("unit = 'chars'").select("l_source", F.col("length").alias("lc"), F.col("odds").alias("c_odds")))
-    bound_b = F.broadcast(limits.where("unit = 'bytes'").select(F.col("l_source").alias("lb_source"), F.col("length").alias("lb"), F.col("odds").alias("b_odds")))
+    bound = limits.where("unit = 'chars'").select("l_source", F.col("length").alias("lc"), F.col("odds").alias("c_odds"))
+    bound_b = limits.where("unit = 'bytes'").select(F.col("l_source").alias("lb_source"), F.col("length").alias("lb"), F.col("odds").alias("b_odds"))
     scored = (
         got.withColumn("end_odds", end_odds)
         .join(bound, (F.coalesce(c("source"), F.lit("")) == c("l_source")) & (c("chars") == c("lc")), "left")
