@@ -48,19 +48,21 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)([\p{L}\p{N}'’*@$!]*[\p{L}\p{N}]['’*]?)"), 1)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once a row, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def last_lines(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Per text: its other lines as they stand, its last line with a word, and what stands after it."""
-    raw = F.split(F.regexp_replace("text", r"(?:\s|(?<=[\r\n])\[\d[\d:.]*\])+$", ""), "\r\n?|\n")
-    return (
-        df.select(F.col(id_col), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-        .where(F.length(F.trim("text")) > 0)
-        .select(id_col, "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), raw.alias("raw"))
-        .withColumn("last", F.trim(_clean_line(F.try_element_at("raw", F.lit(-1)))))
-        .where("last <> ''")
-        .withColumn("body", F.regexp_replace("last", _TAIL, ""))
-        .withColumn("tail", F.col("body") != F.col("last"))
-        .withColumn("body", F.regexp_replace("body", _REMARK, ""))
-    )
+    """Per text: its other lines as they stand, its last line with a word, that line's words and what stands after them."""
+    raw = F.split(F.regexp_replace(F.col(text_col), r"(?:\s|(?<=[\r\n])\[\d[\d:.]*\])+$", ""), "\r\n?|\n")
+
+    def parts(last: Column) -> Column:
+        return _let(F.regexp_replace(last, _TAIL, ""), lambda body: F.struct(last.alias("last"), (body != last).alias("tail"), (last.rlike(_LABEL) & (body == last)).alias("label"), F.concat(F.array(F.lit("^")), _words(F.regexp_replace(body, _REMARK, ""))).alias("w")))
+
+    x = _let(raw, lambda lines: F.struct(lines.alias("raw"), _let(F.trim(_clean_line(F.try_element_at(lines, F.lit(-1)))), parts).alias("end")))
+    texts = df.where(F.length(F.trim(text_col)) > 0).select(F.col(id_col), F.col(source_col).alias("source"), F.length(text_col).alias("chars"), F.octet_length(text_col).alias("bytes"), x.alias("x"))
+    return cut(texts).select(id_col, "source", "chars", "bytes", "x.raw", "x.end.*").where("last <> ''")
 
 
 def line_grams(texts: DataFrame) -> DataFrame:
@@ -70,7 +72,8 @@ def line_grams(texts: DataFrame) -> DataFrame:
     of each text is left out, since it may be cut. Equal lines are counted before anything is made of
     them. Rows may repeat.
     """
-    raw = texts.select(F.explode(F.slice("raw", 1, F.greatest(F.size("raw") - 1, F.lit(0)))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    # cut here, or the filters below would be moved before the count and match every line
+    raw = cut(texts.select(F.explode(F.slice("raw", 1, F.greatest(F.size("raw") - 1, F.lit(0)))).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")))
     lines = (
         raw.select("n", F.trim(_clean_line(F.col("line"))).alias("line"))
         .where("line <> ''")
@@ -204,12 +207,10 @@ def score_cuts(df: DataFrame, id_col: str = "lyric_id", text_col: str = "plain_l
     all come out. A text that ends in dots, a dash, an interjection or a label counts as its
     last words do. Texts of labels only get posterior 0 but for limits.
     """
-    texts = cut(last_lines(df, id_col, text_col, source_col))
+    texts = last_lines(df, id_col, text_col, source_col)
     limits = cut(limits_of(texts)).select("unit", F.col("source").alias("l_source"), "length", "odds")
-    w = F.concat(F.array(F.lit("^")), _words(F.col("body")))
-    last = texts.select(id_col, "source", "chars", "bytes", "tail", "last", w.alias("w"))
     m = F.size("w")
-    last = last.withColumn("label", F.col("last").rlike(_LABEL) & ~F.col("last").rlike(_TAIL) | (m < 2)).withColumn("partial", F.try_element_at("w", F.lit(-1)))
+    last = texts.drop("raw").withColumn("label", F.col("label") | (m < 2)).withColumn("partial", F.try_element_at("w", F.lit(-1)))
     # what follows each context that some text ends on
     end, word = _contexts(F.col("w"), m), _contexts(F.col("w"), m - 1)
     ask = lambda kind, what, ctx, p: F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("what"), ctx.alias("ctx"), p.alias("p"))
