@@ -1,16 +1,17 @@
 """Test passages that leak into a corpus, fully, partly or slightly altered.
 
 Method: containment search with MinHash sketches, partitioned by size. Every passage is cut into
-windows of the shortest stretch that counts; a window is a short test item. Windows are
-partitioned by their number of distinct shingles, and each partition gets its own sketch size: the
-least number of MinHash values (the smallest shingle hashes) of which at least one surely lies
-among the shingles that stay intact under the allowed alterations. A document is a candidate for a
-passage if its shingle set contains a sketch value (containment is tested one-sidedly, so a long
-document costs no recall). Candidates are verified exactly on their words: the shingles that both
-share are extended into the longest common stretch, within the allowed alterations.
+windows of each length from the shortest stretch that counts to just below twice that, since any longer leak holds one of
+these; a window is a short test item. Windows are partitioned by their number of words and of distinct shingles, and each
+partition gets its own sketch size: the least number of MinHash values (the smallest shingle hashes) of which
+at least one surely lies among the shingles that stay intact under the alterations allowed at that length. A
+document is a candidate for a passage if its shingle set contains a sketch value (containment is tested
+one-sidedly, so a long document costs no recall). Candidates are verified by exact shingle containment: some window must have as
+many shingles in the document as its partition says stay intact. What passes is aligned word by word: the
+shared shingles are extended into the longest common stretch, within the allowed alterations.
 
 Shingles here have four words, not five: in twelve words with one altered and one interruption only
-a run of four is sure to stay whole.
+a run of four is sure to stay whole. So few stay whole at worst that the sketches hold nearly all shingles of a passage.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SHINGLE = 4
 #: Successive words of a passage that make a leak.
@@ -58,6 +60,7 @@ def sketch_size(shingles: int, intact: int) -> int:
     return max(1, shingles - max(1, intact) + 1)
 
 
+@functools.lru_cache(maxsize=64)
 def least_intact(length: int = STRETCH) -> int:
     """Shingles that stay whole in a window of this length, at worst: the altered words and the one
     interruption cut it into runs, and the worst cut makes them equal."""
@@ -85,9 +88,9 @@ class PassageIndex:
 
     def __init__(self, passages: Iterable[tuple[int, str | None]]):
         self.vocab: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.partitions: dict[int, int] = {}
+        self.partitions: dict[tuple[int, int], int] = {}
         for item, text in passages:
             w = words(text)
             if len(w) < STRETCH:
@@ -95,14 +98,16 @@ class PassageIndex:
             ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], dtype=np.int64)
             h = _mix(ids)
             wanted: set[int] = set()
-            for at in range(len(w) - STRETCH + 1):
-                part = np.unique(h[at : at + STRETCH - SHINGLE + 1])
-                k = self.partitions.setdefault(len(part), sketch_size(len(part), least_intact()))
-                wanted |= set(part[:k].tolist())
+            for n in range(STRETCH, min(len(w), 2 * STRETCH - 1) + 1):
+                intact = least_intact(n)
+                for at in range(len(w) - n + 1):
+                    part = np.unique(h[at : at + n - SHINGLE + 1])
+                    k = self.partitions.setdefault((n, len(part)), sketch_size(len(part), intact - (n - SHINGLE + 1 - len(part))))
+                    wanted |= set(part[:k].tolist())
             for j, x in enumerate(h.tolist()):
                 if x in wanted:
                     found[x].append((len(self.items), j))
-            self.items.append((item, ids))
+            self.items.append((item, ids, h))
         self.sketch = np.array(sorted(found), dtype=np.uint64)
         self.found = dict(found)
 
@@ -113,6 +118,7 @@ class PassageIndex:
         h = _mix(ids)
         if not len(h):
             return []
+        self.last = h
         at = np.searchsorted(self.sketch, h)
         at[at == len(self.sketch)] = 0
         pos = np.flatnonzero(self.sketch[at] == h)
@@ -125,7 +131,17 @@ class PassageIndex:
         for i, h in hits:
             for item, j in self.found[h]:
                 by_item[item].append((i, j))
-        return [self.items[k][0] for k, seeds in by_item.items() if leaks(ids, self.items[k][1].tolist(), seeds)]
+        return [self.items[k][0] for k, seeds in by_item.items() if contained(self.last, self.items[k][2]) and leaks(ids, self.items[k][1].tolist(), seeds)]
+
+
+def contained(doc: np.ndarray, item: np.ndarray) -> bool:
+    """Whether some window of the item has as many shingles in the document as a leak of its length leaves intact."""
+    held = np.concatenate([[0], np.cumsum(np.isin(item, doc))])
+    for n in range(STRETCH, min(len(item) + SHINGLE - 1, 2 * STRETCH - 1) + 1):
+        size = n - SHINGLE + 1
+        if (held[size:] - held[:-size]).max() >= least_intact(n):
+            return True
+    return False
 
 
 def _reach(d: list[int], p: list[int], i: int, j: int, step: int) -> dict[tuple[int, int], int]:
@@ -208,7 +224,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     def search(rows: list[tuple[int, str | None]]) -> DataFrame:
         held = spark.sparkContext.broadcast(rows)
         names = [doc_id, item_id]
-        item_type = pa.int64() if isinstance(items.schema[item_id].dataType, T.LongType) else pa.string()
+        item_type = to_arrow_type(items.schema[item_id].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(held)

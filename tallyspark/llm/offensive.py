@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Most judged texts that are used for fitting, taken by hash of their id.
 MAX_JUDGED = 20_000
+#: Offensive texts that a threshold found from the texts must outweigh.
+FEW = 5
 BITS = 17
 RANK = 8
 ROUNDS = 2
@@ -237,12 +239,10 @@ def train(texts: Sequence[str], flags: Sequence[int], seed: int = 7) -> tuple[Fa
     s = fm.score(lines)
     tops = np.array([max((s[i] for i in b), default=-9.0) for b in bags])
     real = np.array([bool(c) for c in chosen], dtype=bool)
-    cut = 0.0
-    if real.sum() >= 20:
-        at = np.arange(-2, 3.01, 0.25)
-        f1 = np.array([2 * ((tops > t) & real).sum() / max(1, (tops > t).sum() + real.sum()) for t in at])
-        # of the thresholds that are as good, the middle
-        cut = float(np.median(at[f1 >= f1.max() - 0.002]))
+    at = np.arange(-2, 3.01, 0.25)
+    f1 = np.array([2 * ((tops > t) & real).sum() / max(1, (tops > t).sum() + real.sum()) for t in at])
+    # of the thresholds that are as good, the middle, drawn towards even odds where few texts speak for it
+    cut = float(np.median(at[f1 >= f1.max() - 0.002])) * real.sum() / (real.sum() + FEW)
     return fm, cut
 
 

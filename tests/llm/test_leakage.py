@@ -97,3 +97,31 @@ def test_table(spark):
     got = sorted(map(tuple, L.leaked_items(docs, items).collect()))
     assert set(got) == {(1, 7), (4, 7)}
     assert L.leaked_items(docs, items.limit(0)).count() == 0 and L.leaked_items(docs.limit(0), items).count() == 0
+
+
+def test_two_alterations_and_a_notice():
+    """Passages of sixteen words with two alterations and a notice: whatever the alignment accepts, the sketch brings up."""
+    rng = random.Random(12)
+    tried = 0
+    for _ in range(2500):
+        p = [f"b{i}" for i in range(16)]
+        part = [[w] for w in p]
+        for i in rng.sample(range(1, 15), 2):
+            part[i] = rng.choice([["zz"], [], [p[i], "zz"]])
+        part.insert(rng.randrange(2, 15), ["notice"] * rng.randint(1, 9))
+        doc = [w for x in part for w in x]
+        ids = {w: i + 1 for i, w in enumerate(p)}
+        d = [ids.get(w, 0) for w in doc]
+        seeds = [(i, j) for i in range(len(d)) for j in range(16) if d[i] == j + 1]
+        if L.leaks(d, list(range(1, 17)), seeds):
+            tried += 1
+            assert found(doc, p), doc
+    assert tried > 1500
+
+
+def test_item_ids_of_other_types(spark):
+    p = " ".join(f"a{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, p)], "doc_id int, text string")
+    for kind, x in (("int", 7), ("string", "x"), ("short", 3)):
+        got = L.leaked_items(docs, spark.createDataFrame([(x, p)], f"item_id {kind}, passage string"))
+        assert [tuple(r) for r in got.collect()] == [(1, x)] and got.schema["item_id"].dataType.simpleString() == {"short": "smallint"}.get(kind, kind)
