@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: keywords of the broad genres ------------------------------------------------
-LATIN = "latin latino latina reggaeton regueton salsa bachata cumbia corrido corridos banda mariachi tejano merengue dembow norteño norteno ranchera mexican mexicano bolero flamenco samba bossa brazilian brasileiro brasileira carioca ostentação brega sertanejo español espanol portuguese".split()
+LATIN = ["latin", "latino", "latina", "reggaeton", "regueton", "salsa", "bachata", "cumbia", "corrido", "corridos", "banda", "mariachi", "tejano", "merengue", "dembow", "norteño", "norteno", "ranchera", "mexican", "mexicano", "bolero", "flamenco", "samba", "bossa", "brazilian", "brasileiro", "brasileira", "carioca", "ostentação", "brega", "sertanejo", "español", "espanol", "portuguese"]
 COUNTRY = ["country", "bluegrass", "americana", "honky", "nashville", "urban cowboy"]
 SOUL = ["soul", "r&b", "rnb"]
 HIP_HOP = ["hip hop", "hiphop", "rap", "trap", "drill", "grime", "crunk", "boom bap", "bounce", "hyphy", "dirty south", "rage", "plugg", "horrorcore", "ratchet"]

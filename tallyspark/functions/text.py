@@ -195,3 +195,13 @@ def bands(c: Column | str, edges: Sequence[float], names: Sequence[str]) -> Colu
 def season_year(d: Column | str) -> Column:
     """The winter a day belongs to: December counts for its year, January for the year before."""
     return F.when(F.month(d) == 12, F.year(d)).when(F.month(d) == 1, F.year(d) - 1)
+
+
+def act_key(c: Column | str) -> Column:
+    """A name without apostrophes of either kind."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), "['’]", ""))
+
+
+def search_text(c: Column | str) -> Column:
+    """Text as it goes into an address, blanks as %20."""
+    return F.regexp_replace(F.url_encode(_col(c)), r"\+", "%20")

@@ -41,5 +41,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"the components have not settled after {max_rounds} rounds")
     root = e.groupBy("u").agg(F.min("v").alias("component"))
     return vertices.join(root, vertices["id"] == root["u"], "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -71,11 +71,11 @@ def match_score(title: Column, credit: Column, cand_title: Column, cand_credit:
     return F.bround(F.greatest(score, F.lit(0.0)), 0).cast("int")
 
 
-def best_of_cascade(candidates: DataFrame, key: Sequence[str], stage: str = "stage", score: str = "score", full: str = "full_score", text: str | None = None, instrumental: str | None = None) -> DataFrame:
+def best_of_cascade(candidates: DataFrame, key: Sequence[str], stage: str = "stage", score: str = "score", full: str = "full_score", text: str | None = None, instrumental: str | None = None, date: str | None = None) -> DataFrame:
     """The best candidate of the first stage that has any, per key.
 
     candidates have a stage number from 1 on. Within a stage the highest score wins, then the full
-    credit's score, then the least candidate id (column cand). With a text column, candidates with text within WITHIN
+    credit's score, then the earliest date if there is such a column (unknown ones last), then the least candidate id (column cand). With a text column, candidates with text within WITHIN
     points of the best and trusted are preferred, and a best one without text falls back to the
     first stage's.
     """
@@ -88,7 +88,7 @@ def best_of_cascade(candidates: DataFrame, key: Sequence[str], stage: str = "sta
         if instrumental:
             good = good & ~F.coalesce(F.col(instrumental), F.lit(False))
     c = c.withColumn("__good", good)
-    first = Window.partitionBy(*k).orderBy(F.desc("__good"), F.asc(stage), F.desc(score), F.desc(full), F.asc("cand"))
+    first = Window.partitionBy(*k).orderBy(F.desc("__good"), F.asc(stage), F.desc(score), F.desc(full), *([F.asc_nulls_last(F.nullif(date, F.lit("")))] if date else []), F.asc("cand"))
     return c.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r", "__top", "__good")
 
 
@@ -104,50 +104,76 @@ def retry_reason(method: Column, score: Column, text: Column, artist_score: Colu
     )
 
 
-def merge_pairs(credits: DataFrame, gap_days: int = MERGE_GAP_DAYS) -> DataFrame:
+#: Acts that changed their name, and a pair that passes every rule but is two songs (title, credits).
+RENAMED = (("kanye west", "ye"), ("puff daddy", "p diddy", "diddy"), ("tekashi 6ix9ine", "6ix9ine"), ("machine gun kelly", "mgk"))
+TWO_SONGS = (("special", "Lizzo Featuring SZA", "SZA"),)
+
+
+def merge_pairs(credits: DataFrame, gap_days: int = MERGE_GAP_DAYS, renamed: Sequence[Sequence[str]] = RENAMED, two_songs: Sequence[tuple[str, str, str]] = TWO_SONGS, mutual_lead: bool = False) -> DataFrame:
     """(a, b): credits of one song inside a block of equal normalised titles.
 
     credits: id, title, artist, debut_date, last_date, weeks (array of dates). Two are one song if their
-    names overlap, their runs are at most gap_days apart, they share no week, and neither is a
-    version when their titles differ. The block join also carries an artist name, so a common
+    names overlap or are names of one renamed act, their runs are at most gap_days apart, they share no week, neither
+    is a version when their titles differ, and they aren't listed as two songs. With mutual_lead each
+    one's lead must be on the other's credit. The block join also carries an act, so a common
     title doesn't bring together all acts that ever used it.
     """
-    c = credits.select("id", "title", "debut_date", "last_date", "weeks", tx.normalize_text("title").alias("block"), F.explode(F.array_distinct(F.transform(tx.split_credit("artist"), lambda x: tx.normalize_text(x)))).alias("name")).where("name <> '' AND block <> ''")
+    names = F.filter(F.array_distinct(F.transform(tx.split_credit("artist"), lambda x: tx.normalize_text(x))), lambda x: x != "")
+    groups = {n: f"#{k}" for k, g in enumerate(renamed) for n in g}
+    if groups:
+        known = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv))
+        names = F.array_distinct(F.concat(names, F.filter(F.transform(names, lambda x: known[x]), lambda x: x.isNotNull())))
+    c = credits.select("id", "title", "artist", "debut_date", "last_date", "weeks", tx.normalize_text("title").alias("block"), tx.normalize_text(tx.lead_artist("artist")).alias("lead"), names.alias("names")).where("block <> ''")
+    c = c.withColumn("name", F.explode("names"))
     l, r = c.alias("l"), c.alias("r")
     apart = F.datediff(F.greatest("l.debut_date", "r.debut_date"), F.least("l.last_date", "r.last_date"))
     version = tx.is_version(F.col("l.title")) | tx.is_version(F.col("r.title"))
-    return (
-        l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.name") == F.col("r.name")) & (F.col("l.id") < F.col("r.id")))
-        .where((apart <= gap_days) & ~F.arrays_overlap("l.weeks", "r.weeks") & ((F.col("l.title") == F.col("r.title")) | ~version))
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .distinct()
-    )
+    ok = (apart <= gap_days) & ~F.arrays_overlap("l.weeks", "r.weeks") & ((F.col("l.title") == F.col("r.title")) | ~version)
+    if mutual_lead:
+        ok = ok & F.array_contains("l.names", F.col("r.lead")) & F.array_contains("r.names", F.col("l.lead"))
+    for t, x, y in two_songs:
+        ok = ok & ~((F.col("l.block") == t) & (((F.col("l.artist") == x) & (F.col("r.artist") == y)) | ((F.col("l.artist") == y) & (F.col("r.artist") == x))))
+    return l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.name") == F.col("r.name")) & (F.col("l.id") < F.col("r.id"))).where(ok).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def merge_groups(credits: DataFrame, gap_days: int = MERGE_GAP_DAYS) -> DataFrame:
+def merge_groups(credits: DataFrame, gap_days: int = MERGE_GAP_DAYS, **rules: object) -> DataFrame:
     """(id, component) of credits that belong to groups of two or more."""
-    return connected_components(merge_pairs(credits, gap_days))
+    return connected_components(merge_pairs(credits, gap_days, **rules))
 
 
 def reduce_groups(credits: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per song: first and last day, best place, distinct weeks, debut and final credit, merged names."""
+    """One row per song: first and last day, best place, distinct weeks and their sum over credits, debut and final credit, merged names."""
     c = credits.join(groups, "id", "left").withColumn("song", F.coalesce("component", "id"))
-    listed = F.array_sort(F.collect_list(F.struct("debut_date", "id", F.concat_ws(" :: ", "title", "artist").alias("name"))))
+    first = F.struct("debut_date", "title", "artist")
+    listed = F.array_sort(F.collect_list(F.struct("debut_date", "title", "artist", F.concat_ws(" :: ", "title", "artist").alias("name"))))
     return (
         c.groupBy("song")
         .agg(
-            F.min_by("title", F.struct("debut_date", "id")).alias("title"),
-            F.min_by("artist", F.struct("debut_date", "id")).alias("artist"),
-            F.max_by("artist", F.struct("debut_date", "id")).alias("final_artist"),
+            F.min_by("title", first).alias("title"),
+            F.min_by("artist", first).alias("artist"),
+            F.max_by("artist", first).alias("final_artist"),
             F.min("debut_date").alias("debut_date"),
             F.max("last_date").alias("last_date"),
             F.min("peak_position").alias("peak_position"),
             F.size(F.array_distinct(F.flatten(F.collect_list("weeks")))).alias("weeks_on_chart"),
+            F.sum(F.size("weeks")).alias("weeks_summed"),
             F.when(F.count(F.lit(1)) > 1, F.array_join(F.transform(listed, lambda x: x["name"]), "|")).alias("merged_from"),
         )
     )
 
 
+def fuller_version(current: DataFrame, candidates: DataFrame, ratio: float = 1.2, floor: int = TITLE_ONLY_FLOOR) -> DataFrame:
+    """(id, cand, chars): for each row of current (id, title, artist, chars) the longest candidate text of an equal
+    title and a similar act that is at least ratio times as long; rows without one are left out.
+
+    candidates: cand, title, artist, text, instrumental. Ties go to the least candidate.
+    """
+    c = candidates.where(~F.coalesce("instrumental", F.lit(False)) & (F.length(F.trim("text")) > 0)).select("cand", F.col("artist").alias("other"), F.length(F.trim("text")).alias("long"), tx.normalize_text("title").alias("block"))
+    j = current.select("id", "artist", "chars", tx.normalize_text("title").alias("block")).where("block <> ''").join(c, "block").where(F.col("long") >= ratio * F.col("chars"))
+    j = j.withColumn("like", artist_similarity(F.col("other"), F.col("artist"))).where(F.col("like") >= floor)
+    return j.groupBy("id").agg(F.min_by("cand", F.struct(-F.col("long"), "cand")).alias("cand"), F.max("long").alias("chars"))
+
+
 def rename(df: DataFrame, mapping: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df with its keys replaced where mapping (old_<key>, new_<key>) names them; a small fixed map."""
     m = mapping

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as tx
-from tallyspark.operators import history, model, resolve, stats
+from tallyspark.operators import history, stats
 from tallyspark.plans.relational import CREDITS_SQL, credits_of
 from tallyspark.plans.texts import CREDIT_SQL
 from tallyspark.session import cut, read_table as T
@@ -79,18 +79,32 @@ def credits_with_lead(s, d) -> DataFrame:
     return credits_of(s, d).where("artist IS NOT NULL").withColumn("lead", tx.lead_artist("artist"))
 
 
-@query(f"""WITH c AS ({_CREDITS}) SELECT a.title, a.artist, count(DISTINCT CASE WHEN b.debut_date < a.debut_date THEN (b.title, b.artist) END) AS prior_entries,
- count(DISTINCT CASE WHEN b.first_top10_date < a.debut_date THEN (b.title, b.artist) END) AS prior_top10s, count(DISTINCT CASE WHEN b.debut_date < a.debut_date AND b.first_top10_date IS NOT NULL THEN (b.title, b.artist) END) AS eventual_top10s,
- CAST(floor(date_diff('day', max(CASE WHEN b.debut_date < a.debut_date THEN b.debut_date END), a.debut_date) / 7) AS INTEGER) AS weeks_since_last FROM c a JOIN c b ON a.lead = b.lead GROUP BY a.title, a.artist, a.debut_date""")
+_NAMED = f"SELECT DISTINCT title, artist, debut_date, first_top10_date, peak_position, trim(unnest(string_split({CREDIT_SQL}, '|'))) AS name FROM ({CREDITS_SQL}) c WHERE artist IS NOT NULL"
+_HISTORY = f"""WITH c AS ({_CREDITS}), e AS (SELECT * FROM ({_NAMED}) WHERE name <> ''),
+ h AS (SELECT a.title, a.artist, count(*) FILTER (b.debut_date < a.debut_date) AS prior_entries, count(*) FILTER (b.first_top10_date < a.debut_date) AS prior_top10s, count(*) FILTER (b.debut_date < a.debut_date AND b.first_top10_date IS NOT NULL) AS eventual_top10s,
+ count(*) FILTER (b.debut_date < a.debut_date AND b.peak_position = 1) AS prior_number1s, CAST(floor(date_diff('day', max(b.debut_date) FILTER (b.debut_date < a.debut_date), a.debut_date) / 7) AS INTEGER) AS weeks_since_last FROM c a LEFT JOIN e b ON a.lead = b.name GROUP BY a.title, a.artist, a.debut_date),
+ n AS (SELECT a.title, a.artist, a.name, count(*) FILTER (b.debut_date < a.debut_date AND b.first_top10_date IS NOT NULL) AS t FROM e a JOIN e b ON a.name = b.name GROUP BY ALL), best AS (SELECT title, artist, max(t) AS best_prior_top10s FROM n GROUP BY ALL)
+ SELECT h.*, coalesce(best_prior_top10s, 0) AS best_prior_top10s, coalesce(best_prior_top10s, 0) > eventual_top10s AS guest_bigger FROM h LEFT JOIN best USING (title, artist)"""
+
+
+@query(_HISTORY)
 def artist_history(s, d):
-    """Earlier songs and hits of the lead act, as known on the day of the debut, and weeks since the last."""
+    """Earlier songs and hits of the lead act, in whichever place they were credited, as known on the day of the
+    debut, weeks since the last, and whether someone else on the credit had more hits."""
     c = credits_with_lead(s, d)
-    day = c.groupBy("lead", F.col("debut_date").alias("day")).agg(F.count(F.lit(1)).alias("k"), F.count("first_top10_date").alias("ever"))
-    w = history.earlier(["lead"], "day")
-    day = day.select("lead", "day", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("prior_entries"), F.coalesce(F.sum("ever").over(w), F.lit(0)).alias("eventual_top10s"), F.max("day").over(w).alias("last_day"))
-    hits = c.where("first_top10_date IS NOT NULL").select("lead", F.col("first_top10_date").alias("day"))
-    known = history.known_events(c.select("title", "artist", "lead", F.col("debut_date").alias("day")), hits, ["lead"], "day", "prior_top10s")
-    return known.join(day, ["lead", "day"]).select("title", "artist", "prior_entries", "prior_top10s", "eventual_top10s", F.floor(F.datediff("day", "last_day") / 7).cast("int").alias("weeks_since_last"))
+    named = cut(c.select("title", "artist", F.col("debut_date").alias("day"), "first_top10_date", "peak_position", F.explode(F.array_distinct(tx.split_credit("artist"))).alias("name")).where("name <> ''"))
+    debuts = named.groupBy("name", "day").agg(F.count(F.lit(1)).alias("k"), F.count("first_top10_date").alias("ever"), F.count_if(F.col("peak_position") == 1).alias("n1"), F.lit(0).cast("long").alias("hit"))
+    hits = named.where("first_top10_date IS NOT NULL").groupBy("name", F.col("first_top10_date").alias("day")).agg(F.count(F.lit(1)).alias("hit"))
+    none = F.lit(0).cast("long")
+    both = debuts.unionByName(hits.select("name", "day", none.alias("k"), none.alias("ever"), none.alias("n1"), "hit")).groupBy("name", "day").agg(*(F.sum(x).alias(x) for x in ("k", "ever", "n1", "hit")))
+    w = history.earlier(["name"], "day")
+    before = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))
+    h = cut(both.select("name", "day", before("k").alias("prior_entries"), before("hit").alias("prior_top10s"), before("ever").alias("eventual_top10s"), before("n1").alias("prior_number1s"), F.max(F.when(F.col("k") > 0, F.col("day"))).over(w).alias("last_day")))
+    best = named.select("title", "artist", "name", "day").join(h, ["name", "day"]).groupBy("title", "artist").agg(F.max("eventual_top10s").alias("best_prior_top10s"))
+    lead = c.select("title", "artist", F.col("lead").alias("name"), F.col("debut_date").alias("day")).join(h, ["name", "day"], "left").join(best, ["title", "artist"], "left")
+    n = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    out = lead.select("title", "artist", n("prior_entries"), n("prior_top10s"), n("eventual_top10s"), n("prior_number1s"), F.floor(F.datediff("day", "last_day") / 7).cast("int").alias("weeks_since_last"), n("best_prior_top10s"))
+    return out.withColumn("guest_bigger", F.col("best_prior_top10s") > F.col("eventual_top10s"))
 
 
 @query(f"SELECT count(*) FILTER (prior_entries > 0 AND weeks_since_last < 0) AS negative_gaps, count(*) FILTER (prior_top10s > eventual_top10s) AS known_beyond_eventual, count(*) FILTER (prior_entries = 0 AND eventual_top10s > 0) AS hits_without_entries FROM ({SQL['artist_history']})")
@@ -146,35 +160,26 @@ def biggest_drops(s, d):
     return c.groupBy("artist", "chart_date").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "artist", "chart_date").limit(10)
 
 
-@query()
-def song_groups(s, d):
-    """Credits of one song joined into components: linked names, near runs, no shared week."""
-    w = T(s, d, "weekly").where("this_week IS NOT NULL")
-    c = w.groupBy("title", "artist").agg(F.min("chart_date").alias("debut_date"), F.max("chart_date").alias("last_date"), F.min("this_week").alias("peak_position"), F.collect_set("chart_date").alias("weeks"))
-    c = cut(c.withColumn("id", F.xxhash64("title", "artist")))
-    return resolve.reduce_groups(c, resolve.merge_groups(c)).select("title", "artist", "final_artist", "debut_date", "last_date", "peak_position", "weeks_on_chart", "merged_from")
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1000000 AS b FROM events WHERE event_type = 'purchase' AND value > 120), n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1000000 AS b FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
  r(u, c) AS (SELECT u, u FROM n UNION SELECT n.v, r.c FROM r JOIN n ON n.u = r.u) SELECT u AS id, min(c) AS component FROM r GROUP BY 1""")
 def components(s, d):
     """Users that share a key, directly or through others."""
     from tallyspark.operators.components import connected_components
 
-    e = T(s, d, "events").where("event_type = 'purchase' AND value > 120").select(F.col("user_id").alias("a"), (F.get_json_object("props", "$.k").cast("long") + 1000000).alias("b"))
+    e = T(s, d, "events").select(F.col("user_id").alias("a"), (F.get_json_object("props", "$.k").cast("long") + 1000000).alias("b"))
     return connected_components(e)
 
 
 # --- rates and tests over finished songs --------------------------------------------------------
 for _name, _by, _where, _doc in (
     ("rate_by_debut_year", "debut_year", "true", "Songs and share of hits by year of debut."),
-    ("rate_by_genre", "primary_genre", "true", "Share of hits by genre."),
-    ("rate_by_entries_band", "entries_band", "true", "Share of hits by the act's earlier entries."),
-    ("rate_by_debut_month", "debut_month", "true", "Share of hits by month of debut."),
-    ("rate_by_feature", "has_feature", "true", "Share of hits with and without a featured act."),
-    ("rate_by_debut_band", "debut_band", "debut_position > 10", "Share of later hits by first place, songs that start in the top 10 left out."),
+    ("rate_by_genre", "primary_genre", "model_split = 'train'", "Share of hits by genre."),
+    ("rate_by_entries_band", "entries_band", "model_split = 'train'", "Share of hits by the act's earlier entries."),
+    ("rate_by_debut_month", "debut_month", "model_split = 'train'", "Share of hits by month of debut."),
+    ("rate_by_feature", "has_feature", "model_split = 'train'", "Share of hits with and without a featured act."),
+    ("rate_by_debut_band", "debut_band", "debut_position > 10 AND model_split = 'train'", "Share of later hits by first place, songs that start in the top 10 left out."),
     ("rate_by_split", "model_split", "true", "Share of hits in training and test rows."),
-    ("rate_by_genre_and_entries", "primary_genre, entries_band", "true", "Share of hits by genre and earlier entries."),
+    ("rate_by_genre_and_entries", "primary_genre, entries_band", "model_split = 'train'", "Share of hits by genre and earlier entries."),
 ):
 
     def _f(s, d, by=_by, where=_where):
@@ -184,11 +189,11 @@ for _name, _by, _where, _doc in (
     QUERIES[_name], SQL[_name] = _f, _rates_sql(_by, _where)
 
 for _name, _a, _where, _strata, _doc in (
-    ("chi_square_rxc", "primary_genre", "true", "", "Genre against hits."),
-    ("chi_square_2x2", "has_feature", "true", "", "Feature against hits: a 2x2 table, with the continuity correction."),
-    ("chi_square_month", "debut_month", "true", "", "Month of debut against hits."),
-    ("chi_square_entries", "entries_band", "true", "", "Earlier entries against hits."),
-    ("stratified_chi_square", "has_feature", "primary_genre IS NOT NULL", "primary_genre", "Feature against hits inside each genre."),
+    ("chi_square_rxc", "primary_genre", "model_split = 'train'", "", "Genre against hits."),
+    ("chi_square_2x2", "has_feature", "model_split = 'train'", "", "Feature against hits: a 2x2 table, with the continuity correction."),
+    ("chi_square_month", "debut_month", "model_split = 'train'", "", "Month of debut against hits."),
+    ("chi_square_entries", "entries_band", "model_split = 'train'", "", "Earlier entries against hits."),
+    ("stratified_chi_square", "has_feature", "primary_genre IS NOT NULL AND model_split = 'train'", "primary_genre", "Feature against hits inside each genre."),
 ):
 
     def _g(s, d, a=_a, where=_where, strata=_strata):
@@ -201,7 +206,7 @@ for _name, _a, _where, _strata, _doc in (
 @query()
 def chi_square_p(s, d):
     """The tests above with p-values."""
-    t = songs(s, d)
+    t = songs(s, d).where("model_split = 'train'")
     out = None
     for a in ("primary_genre", "has_feature", "debut_month", "entries_band"):
         x = stats.with_p(stats.chi_square(t, a, "hit")).withColumn("question", F.lit(a))
@@ -209,7 +214,7 @@ def chi_square_p(s, d):
     return out
 
 
-_MW = [(c, f"SELECT '{c}' AS measure, CAST({c} AS DOUBLE) AS v, hit AS g FROM ({_SONGS}) x WHERE {c} IS NOT NULL") for c in ("unique_word_ratio", "repetition_score", "avg_line_length", "word_count")]
+_MW = [(c, f"SELECT '{c}' AS measure, CAST({c} AS DOUBLE) AS v, hit AS g FROM ({_SONGS}) x WHERE {c} IS NOT NULL AND model_split = 'train'") for c in ("unique_word_ratio", "repetition_score", "avg_line_length", "word_count")]
 
 
 @query(
@@ -220,7 +225,7 @@ _MW = [(c, f"SELECT '{c}' AS measure, CAST({c} AS DOUBLE) AS v, hit AS g FROM ({
 )
 def mann_whitney_u(s, d):
     """Lyric measures of hits against the rest."""
-    t = songs(s, d)
+    t = songs(s, d).where("model_split = 'train'")
     out = None
     for c, _ in _MW:
         x = stats.mann_whitney(t, c, "hit").select(F.lit(c).alias("measure"), "n1", "n2", F.round("median1", 9).alias("median1"), F.round("median2", 9).alias("median2"), F.round("u", 4).alias("u"), F.round("z", 6).alias("z"), F.round("rank_biserial", 6).alias("rank_biserial"))
@@ -236,20 +241,6 @@ def hit_concentration(s, d):
     return r.join(F.broadcast(c.agg(F.sum("hits").alias("total"))), how="cross").select("primary_artist", "hits", "rank_no", F.round(F.col("upto") / F.col("total"), 9).alias("running_share"))
 
 
-@query(f"SELECT primary_artist, count(*) AS entries, count(*) FILTER (hit) AS hits, round(least(count(*) FILTER (hit) / count(*), 1), 9) AS hit_ratio, CASE WHEN count(*) FILTER (hit) = 0 THEN '0' WHEN count(*) FILTER (hit) / count(*) <= 0.1 THEN '(0,.10]' WHEN count(*) FILTER (hit) / count(*) <= 0.25 THEN '(.10,.25]' ELSE '(.25,1]' END AS ratio_band FROM ({_SONGS}) x WHERE primary_artist IS NOT NULL GROUP BY 1 HAVING count(*) >= 3")
-def hit_ratio(s, d):
-    g = songs(s, d).where("primary_artist IS NOT NULL").groupBy("primary_artist").agg(F.count(F.lit(1)).alias("entries"), F.count_if("hit").alias("hits")).where("entries >= 3")
-    r = F.col("hits") / F.col("entries")
-    return g.select("*", F.round(F.least(r, F.lit(1.0)), 9).alias("hit_ratio"), F.when(F.col("hits") == 0, "0").when(r <= 0.1, "(0,.10]").when(r <= 0.25, "(.10,.25]").otherwise("(.25,1]").alias("ratio_band"))
-
-
-@query(f"SELECT entries_band, count(*) AS acts, count(*) FILTER (NOT any_hit) AS never, round(100.0 * count(*) FILTER (NOT any_hit) / count(*), 6) AS never_rate FROM (SELECT primary_artist, bool_or(hit) AS any_hit, CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 3 THEN '2-3' WHEN count(*) <= 10 THEN '4-10' ELSE '11+' END AS entries_band FROM ({_SONGS}) x WHERE primary_artist IS NOT NULL GROUP BY 1) GROUP BY 1")
-def never_hit(s, d):
-    g = songs(s, d).where("primary_artist IS NOT NULL").groupBy("primary_artist").agg(F.bool_or("hit").alias("any_hit"), F.count(F.lit(1)).alias("k"))
-    band = F.when(F.col("k") == 1, "1").when(F.col("k") <= 3, "2-3").when(F.col("k") <= 10, "4-10").otherwise("11+")
-    return g.groupBy(band.alias("entries_band")).agg(F.count(F.lit(1)).alias("acts"), F.count_if(~F.col("any_hit")).alias("never")).withColumn("never_rate", F.round(100.0 * F.col("never") / F.col("acts"), 6))
-
-
 @query(f"SELECT debut_year, median(duration_used) FILTER (hit) AS hit_median, median(duration_used) FILTER (NOT hit) AS other_median, round(100 * (median(duration_used) FILTER (hit) / median(duration_used) FILTER (NOT hit) - 1), 6) AS difference FROM ({_SONGS}) x WHERE duration_used IS NOT NULL AND debut_year IS NOT NULL GROUP BY 1")
 def length_by_year(s, d):
     t = songs(s, d).where("duration_used IS NOT NULL AND debut_year IS NOT NULL")
@@ -277,18 +268,6 @@ def stratified_rates(s, d):
     return g.select("primary_genre", "with_n", "without_n", F.round(100.0 * F.col("a") / F.nullif("with_n", zero) - 100.0 * F.col("b") / F.nullif("without_n", zero), 6).alias("gap"))
 
 
-@query(f"SELECT primary_artist, n_alone, n_drop, rate_alone, rate_drop, CASE WHEN rate_alone > rate_drop THEN 'better alone' WHEN rate_alone < rate_drop THEN 'better in drops' ELSE 'tie' END AS verdict FROM (SELECT primary_artist, count(*) FILTER (k = 1) AS n_alone, count(*) FILTER (k > 1) AS n_drop, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (k = 1), 9) AS rate_alone, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (k > 1), 9) AS rate_drop FROM (SELECT *, count(*) OVER (PARTITION BY primary_artist, first_chart_date) AS k FROM ({_SONGS}) x WHERE primary_artist IS NOT NULL AND first_chart_date IS NOT NULL) GROUP BY 1) WHERE n_alone > 0 AND n_drop > 0")
-def within_artist(s, d):
-    """Each act against itself: songs that came alone and songs that came in drops."""
-    t = songs(s, d).where("primary_artist IS NOT NULL AND first_chart_date IS NOT NULL")
-    # counted per act and week first, so a busy act is no large group
-    w = t.groupBy("primary_artist", "first_chart_date").agg(F.count(F.lit(1)).alias("k"), F.count_if("hit").alias("h"))
-    one, more = F.col("k") == 1, F.col("k") > 1
-    g = w.groupBy("primary_artist").agg(F.sum(F.when(one, F.col("k")).otherwise(0)).alias("n_alone"), F.sum(F.when(more, F.col("k")).otherwise(0)).alias("n_drop"), F.sum(F.when(one, F.col("h")).otherwise(0)).alias("ha"), F.sum(F.when(more, F.col("h")).otherwise(0)).alias("hd")).where("n_alone > 0 AND n_drop > 0")
-    g = g.select("primary_artist", "n_alone", "n_drop", F.round(F.col("ha") / F.col("n_alone"), 9).alias("rate_alone"), F.round(F.col("hd") / F.col("n_drop"), 9).alias("rate_drop"))
-    return g.withColumn("verdict", F.when(F.col("rate_alone") > F.col("rate_drop"), "better alone").when(F.col("rate_alone") < F.col("rate_drop"), "better in drops").otherwise("tie"))
-
-
 @query(f"SELECT primary_genre, debut_year, n, round(100.0 * n / sum(n) OVER (PARTITION BY debut_year), 6) AS share FROM (SELECT primary_genre, debut_year, count(*) AS n FROM ({_SONGS}) x WHERE hit AND primary_genre IS NOT NULL AND debut_year IS NOT NULL GROUP BY 1, 2)")
 def genre_mix_over_time(s, d):
     g = songs(s, d).where("hit AND primary_genre IS NOT NULL AND debut_year IS NOT NULL").groupBy("primary_genre", "debut_year").agg(F.count(F.lit(1)).alias("n"))
@@ -314,44 +293,6 @@ def train_stats_scale(s, d):
     return l.where("y >= 1997").crossJoin(F.broadcast(st)).select("l_orderkey", "l_linenumber", "l_partkey", F.round((F.col("l_quantity") - F.col("m")) / F.col("sd"), 6).alias("scaled"))
 
 
-_PREDICTORS = ["debut_position_known", "prior_entries", "n_credited_artists", "unique_word_ratio", "repetition_score", "duration_used"]
-
-
-def _model_rows(s, d):
-    t = songs(s, d).withColumn("debut_position_known", F.col("debut_month").cast("double")).withColumn("feature_flag", F.coalesce(F.col("has_feature").cast("double"), F.lit(0.0)))
-    return model.one_hot(t, "primary_genre", ["Latin", "R&B", "country", "dance/electronic", "hip-hop/rap", "mixed", "other", "pop", "rock/alternative"], "genre")
-
-
-@query()
-def model_predictions(s, d):
-    """Chance of a hit for test rows by the full model."""
-    t, flags = _model_rows(s, d)
-    return model.fit_predict(t, "model_split", "hit", [*_PREDICTORS, "feature_flag", *flags], ["song_id"])[0]
-
-
-@query()
-def model_scores(s, d):
-    """Precision and recall of the baseline with two history features and of the full model."""
-    t, flags = _model_rows(s, d)
-    out = None
-    for name, cols in (("baseline", ["prior_entries", "n_credited_artists"]), ("full", [*_PREDICTORS, "feature_flag", *flags])):
-        x = model.precision_recall(model.fit_predict(t, "model_split", "hit", cols, ["song_id"])[0]).withColumn("model", F.lit(name))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
-@query()
-def model_coefficients(s, d):
-    t, flags = _model_rows(s, d)
-    return s.createDataFrame(model.fit_predict(t, "model_split", "hit", [*_PREDICTORS, "feature_flag", *flags], ["song_id"])[1], "predictor string, weight double")
-
-
-@query()
-def model_confusion(s, d):
-    t, flags = _model_rows(s, d)
-    return model.confusion(model.fit_predict(t, "model_split", "hit", [*_PREDICTORS, "feature_flag", *flags], ["song_id"])[0])
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (n_charted IS NULL) AS not_charted, count(*) FILTER (coalesce(top10, false) <> (best <= 10)) AS differing_hits FROM songs_analysis LEFT JOIN (SELECT title, artist, count(*) AS n_charted, min(this_week) AS best FROM weekly GROUP BY 1, 2) USING (title, artist)")
 def consistency_checks(s, d):
     """The analysis table against the chart it was made from."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.plans import analyses, io, packed, relational, texts, windows
+from tallyspark.plans import analyses, credits, io, packed, relational, study, texts, windows
 
-MODULES = (packed, relational, windows, texts, analyses, io)
+MODULES = (packed, relational, windows, texts, analyses, study, credits, io)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,18 +57,35 @@ def replace_in_place(s, d):
     path = scratch(s, "lyrics")
     t = T(s, d, "lyrics").select("lyric_id", "title", "artist", "match_score")
     files.replace_table(t, path)
-    now = s.read.parquet(path)
+    now = files.read_current(s, path)
     files.replace_table(files.upsert(now, now.where("match_score < 90").withColumn("match_score", F.lit(100)), ["lyric_id"]), path)
-    return s.read.parquet(path)
+    return files.read_current(s, path)
 
 
-@query("SELECT title, artist, chart_date, any_value(this_week) AS this_week FROM (SELECT title, artist, chart_date, min(this_week) AS this_week FROM weekly WHERE this_week IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
+@query("SELECT DISTINCT title, artist, chart_date FROM weekly WHERE this_week IS NOT NULL")
 def stream_append(s, d):
-    """Weekly rows streamed in, each key once."""
+    """Weekly rows as they stand, repeated ones included, streamed in over several batches; each key is appended once."""
     src, out, ck = scratch(s, "landed"), scratch(s, "out"), scratch(s, "ck")
-    T(s, d, "weekly").where("this_week IS NOT NULL").groupBy("title", "artist", "chart_date").agg(F.min("this_week").alias("this_week")).withColumn("at", F.col("chart_date").cast("timestamp")).write.parquet(src)
-    charts.append_new(charts.landed(s, src, "title STRING, artist STRING, chart_date DATE, this_week INT, at TIMESTAMP"), ["title", "artist", "chart_date"], "at", "100000 days", out, ck).awaitTermination()
-    return s.read.parquet(out).select("title", "artist", "chart_date", "this_week")
+    rows = T(s, d, "weekly").where("this_week IS NOT NULL").select("title", "artist", "chart_date", F.col("chart_date").cast("timestamp").alias("at"))
+    # files by month, older ones first, as a chart grows; some keys come back in the next file
+    rows.repartitionByRange(6, "chart_date").sortWithinPartitions("chart_date").write.parquet(src)
+    rows.where(F.pmod(F.xxhash64("title"), F.lit(7)) == 0).coalesce(1).write.mode("append").parquet(src)
+    charts.append_new(charts.landed(s, src, "title STRING, artist STRING, chart_date DATE, at TIMESTAMP", 3), ["title", "artist", "chart_date"], "at", "36500 days", out, ck).awaitTermination()
+    return s.read.parquet(out).select("title", "artist", "chart_date")
+
+
+@query("SELECT user_id, first_ts, last_ts, n FROM (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k)")
+def stream_sessions(s, d):
+    """Runs of a user's events with less than two days between them, over a stream."""
+    src, out, ck = scratch(s, "events"), scratch(s, "sessions"), scratch(s, "ck")
+    T(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(src)
+    w = charts.landed(s, src, "user_id BIGINT, ts TIMESTAMP", 2).withWatermark("ts", "10000 days").groupBy(F.session_window("ts", "2 days"), "user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+
+    def put(batch, _):
+        batch.write.mode("overwrite").parquet(out)
+
+    w.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out).select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -85,9 +102,11 @@ def stream_windows(s, d):
     return s.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT row_id, title, mb_title AS kept FROM mb_songs")
+@query("SELECT title, artist, row_id, mb_title FROM mb_songs WHERE title IS NOT NULL AND artist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title, artist ORDER BY fetched_at DESC NULLS LAST, row_id DESC) = 1")
 def stream_upsert(s, d):
+    """Fetched rows streamed in over several batches; of each credit the row fetched last stays, whichever batch brought it."""
     src, table, ck = scratch(s, "rows"), scratch(s, "table"), scratch(s, "ck")
-    T(s, d, "mb_songs").select("row_id", "title", F.col("mb_title").alias("kept")).write.parquet(src)
-    charts.keep_latest(charts.landed(s, src, "row_id BIGINT, title STRING, kept STRING"), ["row_id"], table, ck).awaitTermination()
-    return s.read.parquet(table)
+    rows = T(s, d, "mb_songs").where("title IS NOT NULL AND artist IS NOT NULL").select("title", "artist", F.struct(F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(-(2**62))).alias("at"), "row_id").alias("o"), "row_id", "mb_title")
+    rows.repartition(6).write.parquet(src)
+    charts.keep_latest(charts.landed(s, src, "title STRING, artist STRING, o STRUCT<at: BIGINT, row_id: BIGINT>, row_id BIGINT, mb_title STRING", 2), ["title", "artist"], "o", table, ck, parts=4).awaitTermination()
+    return charts.read_latest(s, table, parts=4).drop("o")

@@ -71,7 +71,10 @@ def normalized_titles(s, d):
     return T(s, d, "mb_songs").select("row_id", tx.normalize_text("mb_title").alias("normal_title"))
 
 
-@query()
+_VERSION = "(?i)\\(\\s*(\\d{4}|[^)]*\\b(" + "|".join(w.replace(" ", "\\s*") for w in tx.VERSION_WORDS) + ")\\b[^)]*)\\s*\\)"
+
+
+@query(f"SELECT row_id, CASE WHEN regexp_matches(mb_title, '{_VERSION}') THEN lower(mb_title) ELSE trim(regexp_replace(lower(regexp_replace(mb_title, '\\([^)]*\\)', ' ', 'g')), '[\\s\\p{{Z}}]+', ' ', 'g')) END AS key, regexp_matches(mb_title, '{_VERSION}') AS is_version FROM mb_songs")
 def title_keys(s, d):
     """Keys of titles, and whether a title names a version."""
     return T(s, d, "mb_songs").select("row_id", tx.title_key("mb_title").alias("key"), tx.is_version("mb_title").alias("is_version"))
@@ -98,7 +101,13 @@ def strong_words(s, d):
     return t.select("lyric_id", tx.has_strong_word("t").alias("has_strong_word"))
 
 
-@query()
+_MARK = "\\s*[(\\[]?\\s*[xX]\\s?(\\d{1,2})\\s*[)\\]]?\\s*$"
+_TIMES = f"TRY_CAST(regexp_extract(line, '{_MARK}', 1) AS INTEGER)"
+_BODY = f"trim(regexp_replace(line, '{_MARK}', ''))"
+_SUNG = f"SELECT lyric_id, i, CASE WHEN {_TIMES} BETWEEN 2 AND 20 AND {_BODY} <> '' THEN {_BODY} ELSE line END AS line, CASE WHEN {_TIMES} BETWEEN 2 AND 20 AND {_BODY} <> '' THEN {_TIMES} ELSE 1 END AS k FROM (SELECT lyric_id, i, l[i] AS line FROM (SELECT lyric_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT lyric_id, string_split(regexp_replace(regexp_replace(plain_lyrics, '\\r\\n?', chr(10), 'g'), '\\[[^\\]]*\\]', '', 'g'), chr(10)) AS l FROM lyrics WHERE plain_lyrics IS NOT NULL)))"
+
+
+@query(f"SELECT lyric_id, CAST(row_number() OVER (PARTITION BY lyric_id ORDER BY i, j) - 1 AS INTEGER) AS line_no, line FROM (SELECT lyric_id, i, line, unnest(range(k)) AS j FROM ({_SUNG}))")
 def repeats_written_out(s, d):
     """Lines marked (x3) and the like, one row per line sung."""
     return T(s, d, "lyrics").where("plain_lyrics IS NOT NULL").select("lyric_id", F.posexplode(tx.expand_repeats(tx.drop_tags(F.regexp_replace("plain_lyrics", "\r\n?", "\n")))).alias("line_no", "line"))
@@ -117,29 +126,70 @@ def ordered_rule_map(s, d):
     return t.select("token", genres.broad_genre(F.col("token")).alias("genre"), "n")
 
 
-_VOTES = f"""SELECT row_id, {genres.broad_genre_sql('x.l')} AS genre, CAST(sum(x.n) AS BIGINT) AS votes FROM (SELECT row_id, unnest(CASE WHEN len(l) = len(c) AND NOT list_contains(list_transform(c, lambda y: y IS NULL), true) THEN list_transform(range(1, len(l) + 1), lambda i: {{'l': l[i], 'n': c[i]}}) ELSE list_transform(l, lambda y: {{'l': y, 'n': 1}}) END) AS x
- FROM (SELECT row_id, list_filter(list_transform(string_split(genres, '|'), lambda y: trim(y)), lambda y: y <> '') AS l, coalesce(list_transform(list_filter(list_transform(string_split(genre_counts, '|'), lambda y: trim(y)), lambda y: y <> ''), lambda y: TRY_CAST(y AS INTEGER)), []) AS c FROM mb_songs WHERE genres IS NOT NULL)) GROUP BY 1, 2"""
+def votes_sql(src: str, key: str, missing: str = "one") -> str:
+    """Votes per broad genre of a table with genres and genre_counts, and the place where each was first seen."""
+    weight = "len(l) - i + 1" if missing == "rank" else "1"
+    keep = "AND same" if missing == "drop" else ""
+    items = "SELECT *, len(l) = len(c) AND NOT list_contains(list_transform(c, lambda y: y IS NULL), true) AS same FROM (SELECT {k}, list_filter(list_transform(string_split(genres, '|'), lambda y: trim(y)), lambda y: y <> '') AS l, coalesce(list_transform(list_filter(list_transform(string_split(genre_counts, '|'), lambda y: trim(y)), lambda y: y <> ''), lambda y: TRY_CAST(y AS INTEGER)), []) AS c FROM {s} WHERE genres IS NOT NULL)".format(k=key, s=src)
+    return f"SELECT {key}, {genres.broad_genre_sql('l[i]')} AS genre, CAST(sum(CASE WHEN same THEN c[i] ELSE {weight} END) AS BIGINT) AS votes, min(i) AS seen FROM (SELECT {key}, l, c, same, unnest(range(1, len(l) + 1)) AS i FROM ({items}) WHERE len(l) > 0 {keep}) GROUP BY 1, 2"
+
 
+_ACTS = "(SELECT DISTINCT ON (artist_mbid) artist_mbid, genres, genre_counts FROM mb_artists)"
+_ONE_MBID = "regexp_extract(artist_mbids, '([0-9a-f]{8}-[0-9a-f-]{27})', 1)"
 
-@query(_VOTES)
+
+def _won(v: str, key: str) -> str:
+    return f"SELECT {key}, list_sort(list(genre)) AS leaders FROM (SELECT *, max(votes) OVER (PARTITION BY {key}) AS top FROM ({v})) WHERE votes = top GROUP BY 1"
+
+
+def _steps_sql(missing: str, select: str) -> str:
+    sv, av = votes_sql("mb_songs", "row_id", missing), votes_sql(_ACTS, "artist_mbid", missing)
+    return f"""WITH m AS (SELECT row_id, {_ONE_MBID} AS artist_mbid FROM mb_songs), t AS ({_won(sv, "row_id")}), a AS ({_won(av, "artist_mbid")}), mg AS (SELECT row_id, string_agg(genre, '|' ORDER BY votes DESC, seen, genre) AS multi_genre FROM ({sv}) GROUP BY 1),
+ b AS (SELECT row_id, leaders[1] AS tie_genre FROM ({_won(f"SELECT t.row_id, v.genre, v.votes FROM (SELECT row_id, unnest(leaders) AS genre FROM t WHERE len(leaders) > 1) t JOIN m USING (row_id) JOIN ({av}) v ON v.artist_mbid = m.artist_mbid AND v.genre = t.genre WHERE v.votes > 0", "row_id")}) WHERE len(leaders) = 1)
+ SELECT m.row_id, {select} FROM m LEFT JOIN t USING (row_id) LEFT JOIN mg USING (row_id) LEFT JOIN b USING (row_id) LEFT JOIN a ON a.artist_mbid = m.artist_mbid"""
+
+
+def _songs_and_acts(s, d):
+    a = T(s, d, "mb_artists").select("artist_mbid", "genres", "genre_counts")
+    return T(s, d, "mb_songs").select("row_id", F.regexp_extract("artist_mbids", r"([0-9a-f]{8}-[0-9a-f-]{27})", 1).alias("artist_mbid"), "genres", "genre_counts"), a
+
+
+@query(f"SELECT row_id, genre, votes FROM ({votes_sql('mb_songs', 'row_id')})")
 def token_votes(s, d):
     """Votes per broad genre; labels without counts that line up get one vote each."""
     return voting.label_votes(T(s, d, "mb_songs"), "row_id", "genres", "genre_counts").select("row_id", "genre", "votes")
 
 
-@query()
+@query(f"SELECT row_id, genre, votes FROM ({votes_sql('mb_songs', 'row_id', 'drop')})")
+def counted_votes(s, d):
+    """The same where counts are required."""
+    return voting.label_votes(T(s, d, "mb_songs"), "row_id", "genres", "genre_counts", "drop").select("row_id", "genre", "votes")
+
+
+_TIE = "WHEN len(leaders) = 1 THEN {one} WHEN len(leaders) > 1 AND tie_genre IS NOT NULL THEN {artist} WHEN len(leaders) > 1 THEN {tie}"
+
+
+@query(_steps_sql("rank", f"CASE {_TIE.replace('len(leaders)', 'len(t.leaders)').format(one='t.leaders[1]', artist='tie_genre', tie=chr(39) + 'tie' + chr(39))} END AS genre, coalesce(multi_genre, '') AS multi_genre, CASE {_TIE.replace('len(leaders)', 'len(t.leaders)').format(one=chr(39) + 'counts' + chr(39), artist=chr(39) + 'artist' + chr(39), tie=chr(39) + 'tie' + chr(39))} ELSE 'none' END AS step"))
 def genre_by_rank_votes(s, d):
-    return voting.label_votes(T(s, d, "mb_songs"), "row_id", "genres", "genre_counts", "rank")
+    """Genre by votes, ranks standing in for missing counts, with the step that decided and all genres."""
+    songs, a = _songs_and_acts(s, d)
+    return voting.vote_in_steps(songs, a, "row_id", "artist_mbid")
 
 
-@query()
+@query(_steps_sql("one", f"CASE {_TIE.format(one='t.leaders[1]', artist='tie_genre', tie=chr(39) + 'mixed' + chr(39)).replace('len(leaders)', 'len(t.leaders)')} WHEN len(a.leaders) = 1 THEN a.leaders[1] WHEN len(a.leaders) > 1 THEN 'mixed' END AS genre, CASE {_TIE.format(one=chr(39) + 'votes' + chr(39), artist=chr(39) + 'artist' + chr(39), tie=chr(39) + 'tie' + chr(39)).replace('len(leaders)', 'len(t.leaders)')} WHEN len(a.leaders) = 1 THEN 'artist only' WHEN len(a.leaders) > 1 THEN 'tie' ELSE 'none' END AS step"))
 def genre_vote(s, d):
     """A song's own votes, then its lead's; ties by the lead's votes among the leaders."""
-    a = T(s, d, "mb_artists").select("artist_mbid", "genres", "genre_counts")
-    songs = T(s, d, "mb_songs").select("row_id", F.regexp_extract("artist_mbids", r"([0-9a-f]{8}-[0-9a-f-]{27})", 1).alias("artist_mbid"), "genres", "genre_counts")
+    songs, a = _songs_and_acts(s, d)
     return voting.vote_genre(songs, a, "row_id", "artist_mbid")
 
 
+@query(_steps_sql("one", "CASE WHEN len(t.leaders) = 1 THEN t.leaders[1] ELSE coalesce(CASE WHEN len(a.leaders) = 1 THEN a.leaders[1] WHEN len(a.leaders) > 1 THEN 'mixed' END, CASE WHEN len(t.leaders) > 1 THEN 'mixed' END) END AS genre"))
+def genre_overall(s, d):
+    """A song's winner, or else its act's own overall winner."""
+    songs, a = _songs_and_acts(s, d)
+    return voting.vote_overall(songs, a, "row_id", "artist_mbid")
+
+
 @query("SELECT row_id, " + ", ".join(f"list_contains(list_transform(string_split(genres, '|'), lambda y: trim(y)), '{g}') AS is_{g.replace('-', '_').replace(' ', '_')}" for g in ("pop", "hip hop", "k-pop", "folk")) + " FROM mb_songs WHERE genres IS NOT NULL")
 def label_flags(s, d):
     """One-hot flags from a multi-label list."""
@@ -197,7 +247,8 @@ def match_quality(s, d):
     return T(s, d, "lyrics").groupBy("match_method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("match_score") >= 72).alias("trusted"), F.count("plain_lyrics").alias("with_text"), F.round(F.avg("match_score"), 6).alias("mean_score"))
 
 
-@query()
+@query("""WITH c AS (SELECT lower(artist) AS credit, count(*) AS n FROM mb_songs WHERE artist IS NOT NULL GROUP BY 1), p AS (SELECT credit, n, unnest(string_split_regex(credit, '\\s*[,&]\\s*')) AS part FROM c WHERE regexp_matches(credit, '[,&]') AND NOT regexp_matches(credit, '(feat|with | x |;|/|\\(|")'))
+ SELECT credit, n FROM (SELECT p.credit, p.n, sum(coalesce(a.n, 0)) AS alone FROM p LEFT JOIN c a ON a.credit = p.part WHERE p.part <> '' GROUP BY 1, 2) WHERE n >= 2 AND alone = 0""")
 def protected_by_data(s, d):
     """Names with a separator that the data show to be one act: the whole name leads credits, its parts never do."""
     c = T(s, d, "mb_songs").where("artist IS NOT NULL").groupBy(F.lower("artist").alias("credit")).agg(F.count(F.lit(1)).alias("n"))

@@ -102,9 +102,14 @@ def partition_sizes(s, d):
 
 @query("SELECT vec_id, label, CAST(rank() OVER (PARTITION BY label ORDER BY round(x, 3)) AS DOUBLE) + (count(*) OVER (PARTITION BY label, round(x, 3)) - 1) / 2 AS mid_rank FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
 def mid_ranks(s, d):
+    """Mid-ranks within labels: values are counted first, then a running count over all labels starts anew at each label."""
     t = T(s, d, "embeddings").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 3).alias("x"))
-    w = Window.partitionBy("label")
-    return t.select("vec_id", "label", (F.rank().over(w.orderBy("x")).cast("double") + (F.count(F.lit(1)).over(Window.partitionBy("label", "x")) - 1) / 2).alias("mid_rank"))
+    c = t.groupBy("label", "x").agg(F.count(F.lit(1)).alias("k"))
+    r = stats.running_sum(c, ["label", "x"], {"upto": "k"})
+    start = r.groupBy("label").agg(F.min(F.col("upto") - F.col("k")).alias("start"))
+    r = r.join(start, "label").select("label", "x", (F.col("upto") - F.col("start") - F.col("k") + 1 + (F.col("k") - 1) / 2).alias("mid_rank"))
+    a, b = t.alias("a"), r.alias("b")
+    return a.join(b, F.col("a.label").eqNullSafe(F.col("b.label")) & F.col("a.x").eqNullSafe(F.col("b.x"))).select("vec_id", "a.label", "mid_rank")
 
 
 @query("SELECT song_id, quantile_cont(unique_word_ratio, 0.02) OVER (PARTITION BY primary_genre) AS cut FROM songs_analysis WHERE primary_genre IS NOT NULL")

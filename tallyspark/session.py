@@ -49,11 +49,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only a session without the setting (tests on one machine) gets a temporary folder of its own.
+    Only a session on one machine without the setting gets a temporary folder of its own; on a cluster
+    the setting must be there.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = os.environ.get("TALLYSPARK_SHARED") or tempfile.mkdtemp(prefix="tallyspark-")
         os.environ["TALLYSPARK_SHARED"] = where
     return where.rstrip("/")
@@ -71,9 +74,3 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that a later stage reads several times."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def small_enough(df: DataFrame, limit_bytes: int = 32 << 20) -> bool:
-    """Whether the optimizer's size estimate of df stays under limit_bytes, so it may be broadcast."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes

@@ -58,15 +58,15 @@ def load_columns(spark: SparkSession, path: str, columns: Sequence[str], keys: S
     """The listed columns that exist, one row per key: the first in the given order."""
     from pyspark.sql import Window
 
-    df = spark.read.parquet(path)
+    df = read_current(spark, path)
     have = [c for c in columns if c in df.columns]
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(*have)
 
 
 def append_batch(df: DataFrame, path: str) -> None:
-    """Adds a batch; a failed job leaves no part of it."""
-    df.write.mode("append").parquet(path)
+    """Adds a batch to a table, or to the version of it that holds; a failed job leaves no part of it."""
+    df.write.mode("append").parquet(_version(df.sparkSession, path) or path)
 
 
 def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,25 +74,49 @@ def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: Name of the file that says which version of a table holds.
+POINTER = "_current"
+
+
+def _fs(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    return hadoop, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that holds. The pointer is a file whose name ends in the version, the greatest one counting."""
+    hadoop, fs = _fs(spark, path)
+    found = fs.globStatus(hadoop.Path(f"{path}/{POINTER}-*"))
+    names = sorted(x.getPath().getName() for x in (found or []))
+    return f"{path}/v-{names[-1].rpartition('-')[2]}" if names else None
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    return _version(spark, path) is not None
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """A table as replace_table or append_batch left it."""
+    return spark.read.parquet(_version(spark, path) or path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a table whole: written beside it, then renamed, so readers see the old or the new one.
+    """Replaces a table whole: a new version is written beside the old one, then one small file makes it hold.
 
-    df may read the table it replaces.
+    Readers see the old version or the new one, and a crash at any point leaves one of them. df may read the
+    table it replaces. The version before the replaced one is deleted, the replaced one stays for its readers.
     """
     spark = df.sparkSession
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = hadoop.Path(path + ".new"), hadoop.Path(path + ".old")
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"{path} can't be set aside")
-    if not fs.rename(new, target):
-        fs.rename(old, target)
-        raise OSError(f"{path} can't be replaced")
-    fs.delete(old, True)
+    hadoop, fs = _fs(spark, path)
+    now = _version(spark, path)
+    n = int(now.rpartition("-")[2]) + 1 if now else 1
+    df.write.mode("overwrite").parquet(f"{path}/v-{n:09d}")
+    if not fs.createNewFile(hadoop.Path(f"{path}/{POINTER}-{n:09d}")):
+        raise OSError(f"{path} was replaced by another writer")
+    for old in (n - 2,):
+        fs.delete(hadoop.Path(f"{path}/{POINTER}-{old:09d}"), False)
+        fs.delete(hadoop.Path(f"{path}/v-{old:09d}"), True)
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

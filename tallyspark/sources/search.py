@@ -6,11 +6,12 @@ limit; a service without one may be asked from many.
 
 from __future__ import annotations
 
+import importlib
 import json
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -40,6 +41,14 @@ def with_retries(call: Callable[[], object], tries: int, backoff: float, sleep:
     return None
 
 
+def _client(options: dict) -> Callable[[str], list]:
+    """The client: made by a function named "module:function", which the executors import, or one that answers from a file."""
+    if "client" in options:
+        module, _, name = options["client"].partition(":")
+        return getattr(importlib.import_module(module), name)()
+    return _offline(options["responses"])
+
+
 def _offline(folder: str) -> Callable[[str], list]:
     """A client that answers from a JSON file of queries and responses."""
     with open(folder) as f:
@@ -55,7 +64,7 @@ class _Part(InputPartition):
 class SearchReader(DataSourceReader):
     def __init__(self, options: dict):
         self.queries = json.loads(options["queries"])
-        self.responses = options["responses"]
+        self.options = {k: options[k] for k in ("client", "responses") if k in options}
         self.pace = float(options.get("pace", "0"))
         self.tries = int(options.get("tries", "3"))
         self.backoff = float(options.get("backoff", "1"))
@@ -66,7 +75,7 @@ class SearchReader(DataSourceReader):
         return [_Part(self.queries[k::n]) for k in range(n)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        client = _offline(self.responses)
+        client = _client(self.options)
         for q in partition.queries:
             found = with_retries(lambda q=q: client(q), self.tries, self.backoff) or []
             for k, r in enumerate(found):
@@ -76,7 +85,7 @@ class SearchReader(DataSourceReader):
 
 
 class SearchSource(DataSource):
-    """format "search": options queries (JSON list), responses (file of answers), pace, tries, backoff, parts."""
+    """format "search": options queries (JSON list), client (module:function) or responses (file of answers), pace, tries, backoff, parts."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,31 +98,57 @@ class SearchSource(DataSource):
         return SearchReader(self.options)
 
 
-def search(spark: SparkSession, queries: list[str], responses: str, **options: str) -> DataFrame:
+def search(spark: SparkSession, queries: list[str], responses: str | None = None, **options: str) -> DataFrame:
+    """Answers of a service; give a client (module:function) or a file of responses."""
     spark.dataSource.register(SearchSource)
-    return spark.read.format("search").options(queries=json.dumps(queries), responses=responses, **options).load()
+    given = options | ({"responses": responses} if responses is not None else {})
+    return spark.read.format("search").options(queries=json.dumps(queries), **given).load()
+
+
+def _by_votes(c: str) -> Column:
+    return F.array_sort(F.coalesce(F.col(c), F.array()), lambda x, y: F.when(x["count"] > y["count"], -1).when(x["count"] < y["count"], 1).otherwise(0))
+
+
+def _packed(c: str, field: str) -> Column:
+    return F.array_join(F.transform(_by_votes(c), lambda x: x[field].cast("string")), "|")
+
+
+def artist_rows(responses: DataFrame) -> DataFrame:
+    """Artist rows from raw responses, genres and tags by votes."""
+    r = responses.select("query", "rank", F.from_json("response", schemas.ARTIST_RESPONSE).alias("r")).select("query", "rank", "r.*")
+    return r.select(
+        "query", "rank", F.col("id").alias("artist_mbid"), F.col("name").alias("artist_name"), F.col("type").alias("artist_type"), "country", "gender", F.col("life-span")["begin"].alias("begin_date"),
+        _packed("genres", "name").alias("genres"), _packed("genres", "count").alias("genre_counts"), _packed("tags", "name").alias("tags"), _packed("tags", "count").alias("tag_counts"),
+    )
+
 
+def song_rows(responses: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Recording rows from raw responses: credit line, earliest release, genres by votes, ids of the acts.
 
-def song_rows(responses: DataFrame) -> DataFrame:
-    """Recording rows from raw responses: credit line, earliest release, genres by votes with the tags as
-    fallback, ids of the acts."""
+    A recording without genres takes those of its earliest release's group from groups (group_id, genres, genre_counts), else its
+    own tags.
+    """
     r = responses.select("query", "rank", F.from_json("response", schemas.RECORDING_RESPONSE).alias("r")).select("query", "rank", "r.*")
-    by_votes = lambda c: F.array_sort(F.coalesce(F.col(c), F.array()), lambda x, y: F.when(x["count"] > y["count"], -1).when(x["count"] < y["count"], 1).otherwise(0))
-    packed = lambda c, f: F.array_join(F.transform(by_votes(c), lambda x: x[f].cast("string")), "|")
     dated = F.filter("releases", lambda x: F.length(F.coalesce(x["date"], F.lit(""))) > 0)
-    first = F.array_min(F.transform(dated, lambda x: F.struct(x["date"].alias("date"), x["release-group"]["primary-type"].alias("kind"))))
-    has = F.size(F.coalesce("genres", F.array())) > 0
+    first = F.array_min(F.transform(dated, lambda x: F.struct(x["date"].alias("date"), x["release-group"]["primary-type"].alias("kind"), x["release-group"]["id"].alias("id"))))
+    r = r.withColumn("first", first)
+    if groups is None:
+        r = r.withColumns({"g_genres": F.lit(None).cast("string"), "g_counts": F.lit(None).cast("string")})
+    else:
+        g = groups.groupBy(F.col("group_id").alias("g_id")).agg(F.min_by("genres", "genres").alias("g_genres"), F.min_by("genre_counts", "genres").alias("g_counts"))
+        r = r.join(g, F.col("first.id") == F.col("g_id"), "left")
+    has, group = F.size(F.coalesce("genres", F.array())) > 0, F.length(F.coalesce("g_genres", F.lit(""))) > 0
     return r.select(
         "query",
         "rank",
         F.col("id").alias("recording_mbid"),
         F.col("title").alias("mb_title"),
         tx.build_credit(F.col("artist-credit")).alias("mb_artist"),
-        F.coalesce(F.nullif("first-release-date", F.lit("")), first["date"]).alias("first_release_date"),
-        first["kind"].alias("release_type"),
+        F.coalesce(F.nullif("first-release-date", F.lit("")), F.col("first.date")).alias("first_release_date"),
+        F.col("first.kind").alias("release_type"),
         F.col("length").alias("recording_length_ms"),
-        F.when(has, packed("genres", "name")).otherwise(packed("tags", "name")).alias("genres"),
-        F.when(has, packed("genres", "count")).otherwise(packed("tags", "count")).alias("genre_counts"),
+        F.when(has, _packed("genres", "name")).when(group, F.col("g_genres")).otherwise(_packed("tags", "name")).alias("genres"),
+        F.when(has, _packed("genres", "count")).when(group, F.col("g_counts")).otherwise(_packed("tags", "count")).alias("genre_counts"),
         F.array_join(F.transform("artist-credit", lambda x: x["artist"]["id"]), "|").alias("artist_mbids"),
-        F.when(has, "recording").when(F.size(F.coalesce("tags", F.array())) > 0, "tags").otherwise("none").alias("genre_source"),
+        F.when(has, "recording").when(group, "release-group").when(F.size(F.coalesce("tags", F.array())) > 0, "tags").otherwise("none").alias("genre_source"),
     )

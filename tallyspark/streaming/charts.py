@@ -33,21 +33,35 @@ def sessions(stream: DataFrame, event_time: str, gap: str, lateness: str, by: li
     return stream.withWatermark(event_time, lateness).groupBy(F.session_window(event_time, gap), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def keep_latest(stream: DataFrame, keys: list[str], table: str, checkpoint: str) -> StreamingQuery:
-    """Upserts every batch into a table: rows with known keys are replaced.
+def keep_latest(stream: DataFrame, keys: list[str], order: str, table: str, checkpoint: str, parts: int = 16) -> StreamingQuery:
+    """Upserts every batch into a table: of each key the row with the greatest order stays, ties by the other columns.
 
-    A batch that is tried again gives the same table, since replacing twice changes nothing.
+    The table is kept in parts by a hash of the keys, and a batch rewrites only the parts that it touches. A batch that
+    is tried again gives the same table, since its rows win or lose against the table as before.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(keys)
-        try:
-            now = spark.read.parquet(table)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            now = None
-        files.replace_table(batch if now is None else files.upsert(now, batch, keys), table)
+        batch = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
+        touched = [r[0] for r in batch.select("part").distinct().collect()]  # at most parts
+        rest = [c for c in batch.columns if c not in (*keys, "part")]
+        for part in sorted(touched):
+            new, path = batch.where(F.col("part") == part).drop("part"), f"{table}/part={part}"
+            if files.table_exists(spark, path):
+                new = new.unionByName(files.read_current(spark, path))
+            best = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *(F.col(c).cast("string") for c in rest if c != order))).alias("x")).select(*keys, "x.*")
+            files.replace_table(best, path)
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, table: str, parts: int = 16) -> DataFrame | None:
+    """The table that keep_latest keeps; None before its first batch."""
+    out = None
+    for part in range(parts):
+        path = f"{table}/part={part}"
+        if files.table_exists(spark, path):
+            x = files.read_current(spark, path)
+            out = x if out is None else out.unionByName(x)
+    return out

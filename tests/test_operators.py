@@ -149,6 +149,57 @@ def test_votes(spark):
     assert got == {1: ("hip-hop/rap", "votes"), 2: ("pop", "artist"), 3: ("dance/electronic", "artist only"), 4: (None, "none"), 5: ("mixed", "tie")}
 
 
+def test_model_against_a_plain_solver(spark):
+    """The distributed fit reaches the weights that plain gradient descent on the same loss does."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    m = np.column_stack([rng.normal(size=(300, 3)), np.ones(300)])
+    y = (rng.random(300) < 1 / (1 + np.exp(-m @ [1.0, -0.5, 0.2, -0.3]))).astype(float)
+    got = model.newton(spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(m, y, strict=True)], "x array<double>, y double").repartition(5), "x", "y", 4)
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 0.005 * (m.T @ (1 / (1 + np.exp(-m @ w)) - y) + w)
+    assert np.allclose(got, w, atol=1e-5)
+
+
+def test_cascade_ties_by_date(spark):
+    rows = [(1, 1, 1, 90, 90, "2020-01-01"), (1, 1, 2, 90, 90, "1999"), (1, 1, 3, 90, 90, None), (2, 1, 5, 80, 80, ""), (2, 1, 6, 80, 80, None)]
+    df = spark.createDataFrame(rows, "id int, stage int, cand int, score int, full_score int, released string")
+    assert {r.id: r.cand for r in resolve.best_of_cascade(df, ["id"], date="released").collect()} == {1: 2, 2: 5}
+
+
+def test_renamed_acts_and_listed_pairs(spark):
+    d = lambda n: DAY + dt.timedelta(7 * n)
+    rows = [(1, "Song", "Kanye West", [0, 1]), (2, "Song", "Ye", [3]), (3, "Special", "SZA", [0]), (4, "Special", "Lizzo Featuring SZA", [2]), (5, "Tune", "A Featuring B", [0]), (6, "Tune", "B", [2]), (7, "Tune", "B & A", [4])]
+    df = spark.createDataFrame([(i, t, a, d(w[0]), d(w[-1]), 5, [d(x) for x in w]) for i, t, a, w in rows], "id long, title string, artist string, debut_date date, last_date date, peak_position int, weeks array<date>")
+    pairs = lambda **k: {(r.a, r.b) for r in resolve.merge_pairs(df, **k).collect()}
+    assert pairs() == {(1, 2), (5, 6), (6, 7), (5, 7)}
+    assert pairs(renamed=(), two_songs=()) == {(3, 4), (5, 6), (6, 7), (5, 7)}
+    assert pairs(mutual_lead=True) == {(6, 7), (5, 7)}
+
+
+def test_fuller_version(spark):
+    now = spark.createDataFrame([(1, "Song", "Ann Kulkev", 10), (2, "Song", "Bo Zorn", 10), (3, None, "Bo Zorn", 1)], "id int, title string, artist string, chars int")
+    cand = spark.createDataFrame([(7, "song (live)", "ann kulkev", "x" * 11, False), (8, "Song", "Ann Kulkev", "x" * 12, False), (9, "Song", "Ann Kulkev", "x" * 30, True), (10, "Song", "Someone Else", "x" * 40, False), (11, None, None, None, None)], "cand int, title string, artist string, text string, instrumental boolean")
+    assert [tuple(r) for r in resolve.fuller_version(now, cand).collect()] == [(1, 8, 12)]
+
+
+def test_votes_in_steps(spark):
+    songs = spark.createDataFrame([(1, "m1", "pop|rock", None), (2, "m1", "pop|rock", "1|1"), (3, "m2", "pop|rock", "1|1"), (4, "m2", None, None)], "id int, m string, genres string, genre_counts string")
+    acts = spark.createDataFrame([("m1", "rock", "2"), ("m2", "house", "3")], "m string, genres string, genre_counts string")
+    got = {r.id: (r.genre, r.multi_genre, r.step) for r in voting.vote_in_steps(songs, acts, "id", "m").collect()}
+    assert got == {1: ("pop", "pop|rock/alternative", "counts"), 2: ("rock/alternative", "pop|rock/alternative", "artist"), 3: ("tie", "pop|rock/alternative", "tie"), 4: (None, "", "none")}
+    assert {r.id: r.genre for r in voting.vote_overall(songs, acts, "id", "m").collect()} == {1: "rock/alternative", 2: "rock/alternative", 3: "dance/electronic", 4: "dance/electronic"}
+    assert {r.id for r in voting.label_votes(songs, "id", "genres", "genre_counts", "drop").collect()} == {2, 3}
+
+
+def test_components_that_do_not_settle(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(df, max_rounds=1)
+
+
 def test_model(spark):
     rng = random.Random(5)
     rows = [(i, "train" if i < 300 else "test", x := rng.gauss(0, 1), rng.gauss(0, 1) if i % 7 else None, x + rng.gauss(0, 0.5) > 0.3) for i in range(400)]

@@ -31,10 +31,10 @@ def test_tables(spark, tmp_path):
     p = str(tmp_path / "t")
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     files.replace_table(a, p)
-    files.append_batch(files.pending(spark.createDataFrame([(2, "x"), (3, "c")], "k int, v string"), spark.read.parquet(p), ["k"]), p)
-    now = spark.read.parquet(p)
+    files.append_batch(files.pending(spark.createDataFrame([(2, "x"), (3, "c")], "k int, v string"), files.read_current(spark, p), ["k"]), p)
+    now = files.read_current(spark, p)
     files.replace_table(files.upsert(now, spark.createDataFrame([(1, "z")], "k int, v string"), ["k"]), p)
-    assert {tuple(r) for r in spark.read.parquet(p).collect()} == {(1, "z"), (2, "b"), (3, "c")}
+    assert {tuple(r) for r in files.read_current(spark, p).collect()} == {(1, "z"), (2, "b"), (3, "c")}
     got = files.load_columns(spark, p, ["k", "v", "nothing"], ["k"], [F.col("v")])
     assert got.columns == ["k", "v"] and got.count() == 3
 
@@ -79,12 +79,69 @@ def test_stream_is_resumable(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
+    """Of each key the latest row stays, whichever batch brings it; a batch tried again changes nothing."""
     src, table, ck = (str(tmp_path / x) for x in ("src", "table", "ck"))
-    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(src)
-    charts.keep_latest(charts.landed(spark, src, "k int, v string"), ["k"], table, ck).awaitTermination()
-    spark.createDataFrame([(2, "c")], "k int, v string").write.mode("append").parquet(src)
-    charts.keep_latest(charts.landed(spark, src, "k int, v string"), ["k"], table, ck).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(table).collect()} == {(1, "a"), (2, "c")}
+    kind = "k int, at int, v string"
+    spark.createDataFrame([(1, 1, "a"), (2, 5, "b"), (3, 1, "x"), (3, 2, "y")], kind).write.parquet(src)
+    charts.keep_latest(charts.landed(spark, src, kind), ["k"], "at", table, ck, parts=3).awaitTermination()
+    spark.createDataFrame([(2, 6, "c"), (1, 0, "late")], kind).write.mode("append").parquet(src)
+    want = {(1, 1, "a"), (2, 6, "c"), (3, 2, "y")}
+    for again in (ck, ck + "2"):  # the second has forgotten what it saw
+        charts.keep_latest(charts.landed(spark, src, kind), ["k"], "at", table, again, parts=3).awaitTermination()
+        assert {(r.k, r.at, r.v) for r in charts.read_latest(spark, table, parts=3).collect()} == want
+
+
+def test_replace_survives_a_crash(spark, tmp_path):
+    """A version without its pointer was never finished: the old one holds, and the next replacement goes on."""
+    p = str(tmp_path / "t")
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    assert not files.table_exists(spark, p)
+    files.replace_table(one(1), p)
+    one(99).write.parquet(f"{p}/v-000000002")  # written, but the writer died before the pointer
+    assert files.read_current(spark, p).first().v == 1
+    for k in (2, 3, 4):
+        files.replace_table(files.read_current(spark, p).selectExpr("v + 1 AS v"), p)
+        assert files.read_current(spark, p).first().v == k
+
+
+def fake_client():
+    """A client as a user would hand in, found by its name on the executors."""
+    calls = {}
+
+    def ask(q):
+        calls[q] = calls.get(q, 0) + 1
+        if q == "slow" and calls[q] == 1:
+            raise OSError("try again")
+        if q == "gone":
+            raise search.NotFound
+        return [{"id": q.upper()}]
+
+    return ask
+
+
+def test_search_with_a_client(spark):
+    """A client that is handed in by module and name is asked, with another try after an error."""
+    import sys
+    import types
+
+    mod = types.ModuleType("client_for_tests")
+    mod.make = fake_client
+    sys.modules["client_for_tests"] = mod
+    reader = search.SearchReader({"queries": '["a", "slow", "gone"]', "client": "client_for_tests:make", "backoff": "0"})
+    rows = [r for part in reader.partitions() for r in reader.read(part)]
+    assert rows == [("a", 0, '{"id": "A"}'), ("slow", 0, '{"id": "SLOW"}')]
+
+
+def test_artist_rows_and_group_genres(spark):
+    import json
+
+    act = {"id": "a1", "name": "Ann", "type": "Person", "country": "US", "gender": "female", "life-span": {"begin": "1970-06"}, "genres": [{"name": "pop", "count": 1}, {"name": "rock", "count": 4}], "tags": []}
+    r = search.artist_rows(spark.createDataFrame([("q", 0, json.dumps(act))], "query string, rank int, response string")).first()
+    assert (r.artist_mbid, r.artist_name, r.country, r.begin_date, r.genres, r.genre_counts, r.tags) == ("a1", "Ann", "US", "1970-06", "rock|pop", "4|1", "")
+    rec = {"id": "r1", "title": "T", "genres": [], "tags": [], "artist-credit": [], "releases": [{"date": "2019", "release-group": {"id": "g1", "primary-type": "Album"}}]}
+    groups = spark.createDataFrame([("g1", "folk", "3")], "group_id string, genres string, genre_counts string")
+    row = search.song_rows(spark.createDataFrame([("q", 0, json.dumps(rec))], "query string, rank int, response string"), groups).first()
+    assert (row.genres, row.genre_counts, row.genre_source) == ("folk", "3", "release-group")
 
 
 def test_schemas_parse(spark):
