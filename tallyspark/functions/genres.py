@@ -66,3 +66,34 @@ def broad_genre_sql(c: str) -> str:
         return f"(list_has_any(string_split_regex({h}, '\\s+'), [{one}]){more})"
 
     return f"CASE WHEN {c} IS NULL THEN NULL " + " ".join(f"WHEN {test(k, w)} THEN {quote(g)}" for k, w, g in RULES) + " ELSE 'other' END"
+
+
+# --- Fixed values: patterns of the broad genres in the earlier rules -------------------------------
+PATTERNS: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("other", (r"\bdancehall\b",)),
+    ("Latin", (r"\blatin", r"\breggaeton\b", r"\bregueton\b", r"\bsalsa\b", r"\bbachata\b", r"\bcumbia\b", r"\bcorrido", r"\bbanda\b", r"\bmariachi\b", r"\btejano\b", r"\bmerengue\b", r"\bdembow\b", r"\bnorte(n|ñ)o\b", r"\branchera\b", r"\bmexican\b", r"\bbolero\b", r"\bflamenco\b", r"\bsamba\b", r"\bbossa\b", r"\bbrazil", r"\bbrasil", r"\bcarioca\b", r"\bostenta", r"\bbrega\b", r"\bsertanejo\b", r"\bespa(n|ñ)ol", r"\bportugu")),
+    ("country", (r"\bcountry\b", r"\bbluegrass\b", r"\bamericana\b", r"\bhonky\b", r"\bnashville\b", r"\burban cowboy\b")),
+    ("pop", (r"pop$",)),
+    ("R&B", (r"\bsoul\b", r"\br&b\b", r"\brnb\b")),
+    ("hip-hop/rap", (r"\bhip[\s-]?hop\b", r"\brap\b", r"\btrap\b", r"\bdrill\b", r"\bgrime\b", r"\bcrunk\b", r"\bboom bap\b", r"\bbounce\b", r"\bhyphy\b", r"\bdirty south\b", r"\brage\b", r"\bplugg\b", r"\bhorrorcore\b", r"\bratchet\b")),
+    ("R&B", (r"\bfunk", r"\bmotown\b", r"\bnew jack swing\b", r"\bquiet storm\b", r"\bdoo[\s-]?wop\b")),
+    ("rock/alternative", (r"\brock\b", r"\bpunk\b", r"\bmetal\b", r"\bgrunge\b", r"\bindie\b", r"\balternative\b", r"\bemo\b", r"\bgaze\b", r"\bbritpop\b", r"\bnew wave\b", r"\bpsychedelia\b", r"\bblackgaze\b")),
+    ("dance/electronic", (r"\belectronic", r"\belectro\b", r"\belectro[\s-]", r"\bedm\b", r"\bhouse\b", r"\btechno\b", r"\btrance\b", r"\bdubstep\b", r"\bdance\b", r"\bdisco\b", r"\bclub\b", r"\brave\b", r"\bdrum and bass\b", r"\bdnb\b", r"\bfuture bass\b", r"\bsynthwave\b", r"\beurodance\b", r"\bhardstyle\b", r"\bbass\b", r"\bgarage\b", r"\btrip hop\b", r"\bcomplextro\b", r"\bdowntempo\b", r"\bleftfield\b", r"\bindietronica\b", r"\bjungle\b", r"\bambient\b", r"\btronica\b", r"\bbreakbeat\b", r"\bmoombahton\b", r"\bbrostep\b", r"\bebm\b", r"\bhardcore\b")),
+    ("pop", (r"\bpop\b",)),
+)
+# ----------------------------------------------------------------------------------------------
+
+
+def genre_by_patterns(label: Column) -> Column:
+    """Broad genre of one label by the patterns, first match wins; null stays null."""
+    s = F.trim(F.lower(label))
+    out = None
+    for genre, patterns in PATTERNS:
+        test = s.rlike("|".join(patterns))
+        out = F.when(test, genre) if out is None else out.when(test, genre)
+    return F.when(label.isNotNull(), out.otherwise("other"))
+
+
+def genre_by_patterns_sql(c: str) -> str:
+    rules = " ".join(f"WHEN regexp_matches(trim(lower({c})), '{'|'.join(p)}') THEN '{g}'" for g, p in PATTERNS)
+    return f"CASE WHEN {c} IS NULL THEN NULL {rules} ELSE 'other' END"

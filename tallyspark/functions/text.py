@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 ONE_ACT = {"lil nas x": "lil nas-x", "sam & dave": "sam and dave", "sonny & cher": "sonny and cher"}
 #: Separators of a credit, longer phrases first.
 SEPARATORS = (" a duet with ", " duet with ", " featuring ", " feauring ", " featauring ", " feat. ", " feat ", " ft. ", " with ", " w/ ", " vs. ", " vs ", " introducing ", " presents ", " x ", " & ", ", ", ": ", " (")
+CREDIT_PATTERN = r" ?(?:,|&|;|/| featuring | feat\.? | ft\. | with | x ) ?"
 FEATURE_WORDS = ("featuring", "feauring", "featauring", "feat.", "ft.")
 VERSION_WORDS = ("version", "remix", "interlude", "poem", "live", "acoustic", "remaster", "remastered", "edit", "mix", "demo", "instrumental", "reprise", "radio", "extended", "sped up", "slowed")
 #: Strong words that also count as beginnings, and words that count only whole.
@@ -103,6 +104,28 @@ def drop_tags(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"\[[^\]]*\]", "")
 
 
+def drop_time_tags(c: Column | str) -> Column:
+    """Text without time stamps, tags of the file and labels of sections of at most 60 signs; longer brackets stay."""
+    out = _col(c)
+    for pattern in (r"\[\d{1,2}:\d{2}(?:[.:]\d{1,3})?\]", r"(?i)\[(?:ti|ar|al|by|offset|length|re|ve)\s*:[^\]]*\]", r"\[[^\]]{0,60}\]"):
+        out = F.regexp_replace(out, pattern, "")
+    return out
+
+
+def split_protected(c: Column | str, names: Sequence[str] = tuple(ONE_ACT)) -> Column:
+    """Acts of a credit by one pattern, listed names being hidden behind placeholders while it is split."""
+    s = F.lower(_col(c))
+    for k, n in enumerate(names):
+        s = F.replace(s, F.lit(n), F.lit(f"\u00a7{k}\u00a7"))
+
+    def back(x: Column) -> Column:
+        for k, n in enumerate(names):
+            x = F.replace(x, F.lit(f"\u00a7{k}\u00a7"), F.lit(n))
+        return F.trim(x)
+
+    return F.filter(F.transform(F.split(s, CREDIT_PATTERN), back), lambda x: x != "")
+
+
 def lyric_text(c: Column | str) -> Column:
     """Lower case; every sign but a-z, 0-9, apostrophe and blanks becomes a blank."""
     return F.regexp_replace(F.lower(_col(c)), r"[^a-z0-9'\s]", " ")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators import contracts
 from tallyspark.plans.relational import LAST_CHART
 from tallyspark.session import read_table as T
 from tallyspark.session import scratch
@@ -32,6 +34,96 @@ def archive_scan(s, d):
     return files.read_archive(s, path, multi_line=False, last_day=LAST_CHART)
 
 
+@query("SELECT chart_date, title, artist, this_week, last_week FROM weekly WHERE chart_date <= DATE '2020-12-31'")
+def archive_scan_all(s, d):
+    """The archive up to a day, rows without a place kept."""
+    path = scratch(s, "archive")
+    files.write_archive(T(s, d, "weekly"), path)
+    return files.read_archive(s, path, multi_line=False, last_day="2020-12-31", keep_missing=True)
+
+
+@query("SELECT row_id, match_score FROM mb_songs WHERE match_score IS NULL OR match_score % 5 <> 0")
+def csv_skips_bad_rows(s, d):
+    """A file in which some scores are no numbers: those rows are skipped."""
+    path = scratch(s, "csv")
+    bad = F.when(F.col("match_score") % 5 == 0, F.concat(F.col("match_score").cast("string"), F.lit("?"))).otherwise(F.col("match_score").cast("string"))
+    files.write_csv(T(s, d, "mb_songs").select("row_id", bad.alias("match_score")), path)
+    return files.read_csv(s, path, "row_id BIGINT, match_score INT", "skip")
+
+
+@query("SELECT chart_date, this_week FROM weekly")
+def csv_dates_and_columns(s, d):
+    """Days and a few columns of a file."""
+    path = scratch(s, "csv")
+    files.write_csv(T(s, d, "weekly").select("chart_date", "title", "artist", "this_week"), path)
+    return files.read_csv(s, path, "chart_date DATE, title STRING, artist STRING, this_week INT", columns=["chart_date", "this_week"])
+
+
+@query("SELECT title, artist, match_score, fetched_at FROM mb_songs QUALIFY row_number() OVER (PARTITION BY title, artist ORDER BY fetched_at DESC NULLS LAST, row_id) = 1")
+def columns_by_key(s, d):
+    """Listed columns, as far as they exist, of the first row per key."""
+    return files.load_columns(s, f"{d}/mb_songs.parquet", ["title", "artist", "match_score", "fetched_at", "no_such_column"], ["title", "artist"], [F.desc_nulls_last("fetched_at"), F.col("row_id")])
+
+
+@query("SELECT column_name, (SELECT count(*) FROM mb_artists) AS agree FROM (VALUES ('artist_mbid'), ('artist_name'), ('artist_type'), ('country'), ('gender'), ('begin_date'), ('genres'), ('genre_counts')) v(column_name)")
+def round_trip(s, d):
+    """A table written as CSV, read back and compared column by column with what was written."""
+    cols = ["artist_mbid", "artist_name", "artist_type", "country", "gender", "begin_date", "genres", "genre_counts"]
+    path = scratch(s, "csv")
+    w = Window.partitionBy(*cols).orderBy(F.lit(1))
+    number = lambda t: t.select(*(F.nullif(F.col(c), F.lit("")).alias(c) for c in cols)).withColumn("copy", F.row_number().over(w)).withColumn("key", F.xxhash64(*cols, "copy"))
+    t = number(T(s, d, "mb_artists"))
+    files.write_csv(t.select(*cols), path)
+    back = number(files.read_csv(s, path, ", ".join(f"{c} STRING" for c in cols)))
+    return contracts.reconcile(t, back, ["key"], cols).select("column_name", "agree")
+
+
+@query("SELECT row_id, mb_title, mb_artist, first_release_date, nullif(replace(coalesce(genres, ''), ' ', ''), '') AS genres FROM mb_songs WHERE recording_mbid IS NOT NULL AND mb_title IS NOT NULL AND mb_artist IS NOT NULL AND regexp_full_match(first_release_date, '\\d{4}-\\d{2}-\\d{2}') AND (genres IS NULL OR regexp_full_match(genres, '[a-z]+'))")
+def recording_rows(s, d):
+    """Responses of a recording service made into rows: credit line of names and join phrases, earliest release, genres by votes."""
+    from tallyspark.sources import search
+
+    t = T(s, d, "mb_songs").where("recording_mbid IS NOT NULL AND mb_title IS NOT NULL AND mb_artist IS NOT NULL").where(F.col("first_release_date").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("genres").isNull() | F.col("genres").rlike("^[a-z]+$")))
+    part = F.split("mb_artist", " & ")
+    credit = F.transform(part, lambda x, i: F.struct(x.alias("name"), F.when(i < F.size(part) - 1, " & ").otherwise("").alias("joinphrase"), F.struct(F.lit("a").alias("id")).alias("artist")))
+    genre = F.when(F.col("genres").isNotNull(), F.array(F.struct(F.col("genres").alias("name"), F.lit(3).alias("count"))))
+    late = F.struct(F.lit("2999-01-01").alias("date"), F.struct(F.lit("g2").alias("id"), F.lit("Album").alias("primary-type")).alias("release-group"))
+    release = F.array(late, F.struct(F.col("first_release_date").alias("date"), F.struct(F.lit("g").alias("id"), F.lit("Single").alias("primary-type")).alias("release-group")))
+    body = F.struct(F.col("recording_mbid").alias("id"), F.col("mb_title").alias("title"), credit.alias("artist-credit"), genre.alias("genres"), release.alias("releases"))
+    rows = search.song_rows(t.select(F.col("row_id").cast("string").alias("query"), F.lit(0).alias("rank"), F.to_json(body).alias("response")))
+    return rows.select(F.col("query").cast("long").alias("row_id"), "mb_title", "mb_artist", "first_release_date", F.nullif("genres", F.lit("")).alias("genres"))
+
+
+def work_list(s, d, kind: str = "lyrics", retry: bool = False, part: tuple[int, int] | None = None) -> DataFrame:
+    """(title, artist, reason): credits on the chart that a service is still to be asked for; with retry also those whose
+    answer was poor. part (k, n) takes the k-th of n disjoint shares."""
+    table, score, text = ("lyrics", "match_score", "plain_lyrics") if kind == "lyrics" else ("mb_songs", "match_score", "mb_title")
+    done = T(s, d, table).groupBy("title", "artist").agg(F.max(score).alias("score"), F.bool_or(F.col(text).isNotNull()).alias("has"))
+    w = T(s, d, "weekly").where("title IS NOT NULL AND artist IS NOT NULL").select("title", "artist").distinct().join(done.withColumn("known", F.lit(True)), ["title", "artist"], "left")
+    reason = F.when(F.col("known").isNull(), "new")
+    if retry:
+        reason = reason.when(F.coalesce(F.col("score") < 90, F.lit(True)), "score").when(~F.col("has"), "empty")
+    out = w.select("title", "artist", reason.alias("reason")).where("reason IS NOT NULL")
+    return out if part is None else out.where(F.pmod(F.xxhash64("title", "artist"), F.lit(part[1])) == part[0])
+
+
+def _work_sql(table: str, text: str, retry: str) -> str:
+    return f"SELECT * FROM (SELECT w.title, w.artist, CASE WHEN l.title IS NULL THEN 'new' {retry} END AS reason FROM (SELECT DISTINCT title, artist FROM weekly WHERE title IS NOT NULL AND artist IS NOT NULL) w LEFT JOIN (SELECT title, artist, max(match_score) AS score, bool_or({text} IS NOT NULL) AS has FROM {table} GROUP BY ALL) l ON l.title = w.title AND l.artist = w.artist) WHERE reason IS NOT NULL"
+
+
+@query(_work_sql("lyrics", "plain_lyrics", "WHEN coalesce(score < 90, true) THEN 'score' WHEN NOT has THEN 'empty'"))
+def lyrics_work_list(s, d):
+    """Credits to ask the lyrics service for, poor answers included."""
+    return work_list(s, d, "lyrics", retry=True)
+
+
+@query(_work_sql("mb_songs", "mb_title", ""))
+def recordings_work_list(s, d):
+    """Credits to ask the recording service for, taken together from three disjoint shares."""
+    out = work_list(s, d, "recordings", part=(0, 3))
+    return out.unionByName(work_list(s, d, "recordings", part=(1, 3))).unionByName(work_list(s, d, "recordings", part=(2, 3)))
+
+
 @query("SELECT lyric_id, title, artist, nullif(replace(replace(plain_lyrics, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '') AS plain_lyrics, match_score FROM lyrics")
 def csv_scan(s, d):
     """Texts with line ends and quotes, written as CSV and read back by a declared schema; line ends made alike."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text as tx
 from tallyspark.operators import contracts, model, stats
 from tallyspark.plans.analyses import _CREDITS, _HISTORY, _NAMED, _SONGS, _chi, _chi_sql, _rates, _rates_sql, artist_history, credits_with_lead, songs
-from tallyspark.plans.relational import CREDITS_SQL
+from tallyspark.plans.relational import CREDITS_SQL, season_fold
+from tallyspark.plans.relational import SQL as _RELATIONAL
 from tallyspark.session import cut, read_table as T
 
 QUERIES: dict = {}
@@ -241,6 +242,33 @@ def chi_origin_without_stars(s, d):
     return _chi(t.where("primary_artist IS NOT NULL").join(F.broadcast(stars.select("primary_artist")), "primary_artist", "left_anti"), "origin")
 
 
+_BY_ID = "SELECT title, artist, min(regexp_extract(artist_mbids, '([0-9a-f]{8}-[0-9a-f-]{27})', 1)) AS artist_mbid FROM mb_songs WHERE regexp_matches(artist_mbids, '[0-9a-f]{8}-[0-9a-f-]{27}') GROUP BY ALL"
+
+
+@query(_rates_sql("origin", TRAIN, f"SELECT x.*, CASE WHEN a.country = 'US' THEN 'US' WHEN a.country IS NOT NULL THEN 'outside' END AS origin FROM ({_SONGS}) x JOIN ({_BY_ID}) m USING (title, artist) JOIN (SELECT artist_mbid, min(country) AS country FROM mb_artists GROUP BY 1) a USING (artist_mbid)"))
+def rate_by_origin_of_lead_id(s, d):
+    """Origin by the id of the recording's first act, not by its name."""
+    pattern = r"([0-9a-f]{8}-[0-9a-f-]{27})"
+    m = T(s, d, "mb_songs").where(F.col("artist_mbids").rlike(pattern)).groupBy("title", "artist").agg(F.min(F.regexp_extract("artist_mbids", pattern, 1)).alias("artist_mbid"))
+    a = T(s, d, "mb_artists").groupBy("artist_mbid").agg(F.min("country").alias("country"))
+    t = songs(s, d).where(TRAIN).join(m, ["title", "artist"]).join(a, "artist_mbid")
+    return _rates(t.withColumn("origin", F.when(F.col("country") == "US", "US").when(F.col("country").isNotNull(), "outside")), "origin")
+
+
+#: Titles that hold a holiday word and are no holiday songs.
+NO_HOLIDAY = (("Santa Fe", "Zach Bryan"), ("Holiday Road", "Kesha"))
+_NO_HOLIDAY = " OR ".join(f"(title = '{t}' AND artist = '{a}')" for t, a in NO_HOLIDAY)
+
+
+@query(f"SELECT title, artist, CASE WHEN share >= 0.7 AND seasons >= 2 THEN 'season' WHEN is_holiday AND NOT ({_NO_HOLIDAY}) THEN 'title' END AS reason FROM ({_RELATIONAL['season_fold']}) WHERE is_holiday")
+def holiday_list(s, d):
+    """Holiday songs and what shows it: the season of their weeks or their title."""
+    listed = F.lit(False)
+    for t, a in NO_HOLIDAY:
+        listed = listed | ((F.col("title") == t) & (F.col("artist") == a))
+    return season_fold(s, d).where("is_holiday").select("title", "artist", F.when((F.col("share") >= 0.7) & (F.col("seasons") >= 2), "season").when(~listed, "title").alias("reason"))
+
+
 @query(f"SELECT country, count(*) AS n, count(*) FILTER (hit) AS hits, round(100.0 * count(*) FILTER (hit) / count(*), 6) AS rate FROM ({_STUDY}) WHERE {TRAIN} AND country IS NOT NULL GROUP BY 1 HAVING count(*) >= 40")
 def rate_by_country(s, d):
     """Countries with at least 40 songs."""

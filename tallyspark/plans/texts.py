@@ -126,6 +126,33 @@ def ordered_rule_map(s, d):
     return t.select("token", genres.broad_genre(F.col("token")).alias("genre"), "n")
 
 
+@query(f"SELECT token, {genres.genre_by_patterns_sql('token')} AS genre, n FROM (SELECT unnest(string_split(genres, '|')) AS token, count(*) AS n FROM mb_songs GROUP BY 1) WHERE trim(token) <> ''")
+def ordered_pattern_map(s, d):
+    """Labels to broad genres by the earlier rules, which are patterns."""
+    t = T(s, d, "mb_songs").select(F.explode(F.split("genres", r"\|")).alias("token")).where("trim(token) <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return t.select("token", genres.genre_by_patterns(F.col("token")).alias("genre"), "n")
+
+
+_HIDDEN = "lower(artist)"
+_SHOWN = "x"
+for _k, _n in enumerate(tx.ONE_ACT):
+    _HIDDEN, _SHOWN = f"replace({_HIDDEN}, {_quote(_n)}, '\u00a7{_k}\u00a7')", f"replace({_SHOWN}, '\u00a7{_k}\u00a7', {_quote(_n)})"
+
+
+@query(f"SELECT row_id, pos, name FROM (SELECT row_id, unnest(range(1, len(p) + 1))::INTEGER AS pos, unnest(p) AS name FROM (SELECT row_id, list_filter(list_transform(string_split_regex({_HIDDEN}, '{tx.CREDIT_PATTERN}'), lambda x: trim({_SHOWN})), lambda x: x <> '') AS p FROM mb_songs WHERE artist IS NOT NULL))")
+def protected_split(s, d):
+    """Acts of a credit by one pattern, names that hold a separator being hidden meanwhile."""
+    t = T(s, d, "mb_songs").where("artist IS NOT NULL").select("row_id", F.posexplode(tx.split_protected("artist")).alias("pos", "name"))
+    return t.select("row_id", (F.col("pos") + 1).alias("pos"), "name")
+
+
+@query("SELECT lyric_id, length(t)::INTEGER AS chars, md5(t) AS digest FROM (SELECT lyric_id, regexp_replace(regexp_replace(regexp_replace(plain_lyrics, '\\[\\d{1,2}:\\d{2}(?:[.:]\\d{1,3})?\\]', '', 'g'), '(?i)\\[(?:ti|ar|al|by|offset|length|re|ve)\\s*:[^\\]]*\\]', '', 'g'), '\\[[^\\]]{0,60}\\]', '', 'g') AS t FROM lyrics WHERE plain_lyrics IS NOT NULL)")
+def time_tags_dropped(s, d):
+    """Texts without time stamps, file tags and short section labels."""
+    t = T(s, d, "lyrics").where("plain_lyrics IS NOT NULL").select("lyric_id", tx.drop_time_tags("plain_lyrics").alias("t"))
+    return t.select("lyric_id", F.length("t").alias("chars"), F.md5(F.encode("t", "UTF-8")).alias("digest"))
+
+
 def votes_sql(src: str, key: str, missing: str = "one") -> str:
     """Votes per broad genre of a table with genres and genre_counts, and the place where each was first seen."""
     weight = "len(l) - i + 1" if missing == "rank" else "1"

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from tallyspark.sources import schemas
 
 
-def read_archive(spark: SparkSession, path: str, multi_line: bool = True, last_day: str | None = None) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, multi_line: bool = True, last_day: str | None = None, keep_missing: bool = False) -> DataFrame:
     """Flat rows (chart_date, title, artist, this_week, last_week) of a nested JSON archive of weekly charts.
 
-    Rows without a place are skipped; a week whose date can't be read gives none; a week without
+    Rows without a place are skipped unless keep_missing; a week whose date can't be read gives none; a week without
     entries gives none. With multi_line the file is one JSON array, else one week per line, which
     Spark can split.
     """
@@ -22,7 +22,8 @@ def read_archive(spark: SparkSession, path: str, multi_line: bool = True, last_d
     rows = df.select(F.try_to_date("date", "yyyy-MM-dd").alias("chart_date"), F.explode("data").alias("e")).where("chart_date IS NOT NULL")
     if last_day:
         rows = rows.where(F.col("chart_date") <= F.lit(last_day).cast("date"))
-    return rows.select("chart_date", F.col("e.song").alias("title"), F.col("e.artist").alias("artist"), F.col("e.this_week").alias("this_week"), F.col("e.last_week").alias("last_week")).where("this_week IS NOT NULL")
+    out = rows.select("chart_date", F.col("e.song").alias("title"), F.col("e.artist").alias("artist"), F.col("e.this_week").alias("this_week"), F.col("e.last_week").alias("last_week"))
+    return out if keep_missing else out.where("this_week IS NOT NULL")
 
 
 def write_archive(weekly: DataFrame, path: str) -> None:

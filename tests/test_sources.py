@@ -147,3 +147,20 @@ def test_artist_rows_and_group_genres(spark):
 def test_schemas_parse(spark):
     for s in (schemas.ARCHIVE, schemas.WEEKLY, schemas.LYRICS, schemas.RECORDINGS, schemas.ARTISTS, schemas.RECORDING_RESPONSE):
         assert spark.createDataFrame([], s).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    """Work lists in shares and with retries, through the command line."""
+    from tallyspark import cli
+
+    d = str(tmp_path / "data")
+    spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "x"), (None, "x")], "title string, artist string").withColumn("chart_date", F.lit("2020-01-04").cast("date")).write.parquet(f"{d}/weekly.parquet")
+    spark.createDataFrame([("A", "x", 95, "la"), ("B", "x", 50, "la")], "title string, artist string, match_score int, plain_lyrics string").write.parquet(f"{d}/lyrics.parquet")
+
+    def run(*args):
+        out = str(tmp_path / "-".join(args).replace("/", "_"))
+        assert cli.main(["work", "lyrics", d, out, *args]) == 0
+        return {(r.title, r.reason) for r in spark.read.parquet(out).collect()}
+
+    assert run() == {("C", "new")} and run("--retry") == {("B", "score"), ("C", "new")} and run("--retry", "--limit", "1") == {("B", "score")}
+    assert run("--retry", "--part", "1/2") | run("--retry", "--part", "2/2") == {("B", "score"), ("C", "new")}
