@@ -98,7 +98,10 @@ class PassageIndex:
             ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], dtype=np.int64)
             h = _mix(ids)
             wanted: set[int] = set()
+            every = len(set(h.tolist()))
             for n in range(STRETCH, min(len(w), 2 * STRETCH - 1) + 1):
+                if len(wanted) == every:
+                    break
                 intact = least_intact(n)
                 for at in range(len(w) - n + 1):
                     part = np.unique(h[at : at + n - SHINGLE + 1])
