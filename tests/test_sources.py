@@ -158,7 +158,7 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([("A", "x", 95, "la"), ("B", "x", 50, "la")], "title string, artist string, match_score int, plain_lyrics string").write.parquet(f"{d}/lyrics.parquet")
 
     def run(*args):
-        out = str(tmp_path / "-".join(args).replace("/", "_"))
+        out = str(tmp_path / ("out" + "-".join(args).replace("/", "_")))
         assert cli.main(["work", "lyrics", d, out, *args]) == 0
         return {(r.title, r.reason) for r in spark.read.parquet(out).collect()}
 
