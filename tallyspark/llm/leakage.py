@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -40,7 +41,9 @@ NOTICE = 24
 BLOCK = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
-_DROP = re.compile("[’‘'`´ʼ­​-‏⁠﻿]")
+#: Signs inside words that don't count, and with them every mark that stands on another letter.
+_SIGNS = frozenset("\u2019\u2018'`\u00b4\u02bc\u00ad\u2060\ufeff") | {chr(c) for c in range(0x200B, 0x2010)}
+_DROP = _SIGNS | {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,11 +51,12 @@ def words(text: str | None) -> list[str]:
     """Words of a text without case, marks, punctuation and spacing."""
     if not text:
         return []
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        if not text.isascii():
-            text = "".join(c for c in text if not unicodedata.combining(c))
-    return _WORD.findall(_DROP.sub("", text).casefold())
+    if text.isascii():
+        return _WORD.findall(text.replace("'", "").replace("`", "").lower())
+    text = unicodedata.normalize("NFKD", text)
+    for c in _DROP.intersection(text):
+        text = text.replace(c, "")
+    return _WORD.findall(text.casefold())
 
 
 def sketch_size(shingles: int, intact: int) -> int:
@@ -88,8 +92,8 @@ class PassageIndex:
 
     def __init__(self, passages: Iterable[tuple[int, str | None]]):
         self.vocab: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.items: list[tuple[int, np.ndarray]] = []
+        found: dict[int, list[tuple[int, int, bool]]] = defaultdict(list)
         self.partitions: dict[tuple[int, int], int] = {}
         for item, text in passages:
             w = words(text)
@@ -108,41 +112,40 @@ class PassageIndex:
                     k = self.partitions.setdefault((n, len(part)), sketch_size(len(part), intact - (n - SHINGLE + 1 - len(part))))
                     wanted |= set(part[:k].tolist())
             for j, x in enumerate(h.tolist()):
-                if x in wanted:
-                    found[x].append((len(self.items), j))
-            self.items.append((item, ids, h))
-        self.sketch = np.array(sorted(found), dtype=np.uint64)
+                found[x].append((len(self.items), j, x in wanted))
+            self.items.append((item, ids))
+        self.shingles = np.array(sorted(found), dtype=np.uint64)
         self.found = dict(found)
 
     def hits(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(position, sketch value) for the sketch values among the shingles of ids."""
-        if not len(self.sketch):
-            return []
+        """(position, shingle) for the passages' shingles among those of ids."""
         h = _mix(ids)
-        if not len(h):
+        if not len(self.shingles) or not len(h):
             return []
-        self.last = h
-        at = np.searchsorted(self.sketch, h)
-        at[at == len(self.sketch)] = 0
-        pos = np.flatnonzero(self.sketch[at] == h)
+        at = np.searchsorted(self.shingles, h)
+        at[at == len(self.shingles)] = 0
+        pos = np.flatnonzero(self.shingles[at] == h)
         return list(zip(pos.tolist(), h[pos].tolist(), strict=True))
 
     def search(self, ids: list[int]) -> list[int]:
         """Item ids whose passages the document with these word ids gives away."""
-        hits = self.hits(np.array(ids, dtype=np.int64))
         by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, h in hits:
-            for item, j in self.found[h]:
+        candidates: set[int] = set()
+        for i, h in self.hits(np.array(ids, dtype=np.int64)):
+            for item, j, sketched in self.found[h]:
                 by_item[item].append((i, j))
-        return [self.items[k][0] for k, seeds in by_item.items() if contained(self.last, self.items[k][2]) and leaks(ids, self.items[k][1].tolist(), seeds)]
-
-
-def contained(doc: np.ndarray, item: np.ndarray) -> bool:
-    """Whether some window of the item has as many shingles in the document as a leak of its length leaves intact."""
-    held = np.concatenate([[0], np.cumsum(np.isin(item, doc))])
-    for n in range(STRETCH, min(len(item) + SHINGLE - 1, 2 * STRETCH - 1) + 1):
-        size = n - SHINGLE + 1
-        if (held[size:] - held[:-size]).max() >= least_intact(n):
+                if sketched:
+                    candidates.add(item)
+        return [self.items[k][0] for k in candidates if contained({j for _, j in by_item[k]}) and leaks(ids, self.items[k][1].tolist(), by_item[k])]
+
+
+def contained(places: set[int]) -> bool:
+    """Whether some window of the passage has as many shingles in the document, which start at these places, as a
+    leak of its length leaves intact."""
+    p = sorted(places)
+    for n in range(STRETCH, 2 * STRETCH):
+        m = least_intact(n)
+        if any(b - a <= n - SHINGLE for a, b in zip(p, p[m - 1 :], strict=False)):
             return True
     return False
 
@@ -195,6 +198,11 @@ def leaks(d: list[int], p: list[int], seeds: list[tuple[int, int]]) -> bool:
     edits of such a part need be tried.
     """
     done: set[tuple[int, int]] = set()
+    runs: dict[tuple[int, int], int] = {}
+    for i, j in seeds:
+        runs[i, j] = runs.get((i - 1, j - 1), 0) + 1
+        if runs[i, j] > STRETCH - SHINGLE:  # word for word
+            return True
     for i, j in seeds:
         if (i - 1, j - 1) in done:
             done.add((i, j))
